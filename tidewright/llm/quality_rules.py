@@ -1,6 +1,6 @@
 """Rule-based quality by cross-document line frequency, in DataFrame functions alone.
 
-Each text is split at newlines; a line is normalised (A-Z lower-cased, runs of blanks made one space, trimmed) and
+Each text is split at newlines; a line is normalised (lower-cased, runs of blanks made one space, trimmed) and
 hashed. Per host, the documents that hold a line are counted distinct. Copies must not turn a text into boilerplate,
 so a document is told apart by its *sketch*, the smallest hash among its other lines: a line counts one document per
 row, the largest group of one sketch counts as copies of one document, and if such a group is over half of a line's
@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import table, written
 
 BLANKS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 #: Frequent lines are broadcast up to this count (48 bytes each at most), and joined by shuffle beyond it.
 BROADCAST_LINES = 50_000
@@ -36,8 +35,8 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     step = docs.select(
         *keep,
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")).alias("_qr_w"),
-        F.char_length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.char_length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        (F.char_length(t) - F.char_length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
     )
     at = ", ".join(f"_qr_w[i + {k}]" for k in range(WINDOW))
@@ -60,32 +59,35 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _normal(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.translate(line, UPPER, LOWER), r"[ \t\x0B\f\r]+", " "), F.lit(" "))
+def _normal(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[ \t\x0B\f\r]+", " ")
+
+
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" "))
 
 
 def _line_id(line: Column) -> Column:
-    return F.substring(F.md5(_normal(line).cast("binary")), 1, 16)
+    return F.substring(F.md5(line.cast("binary")), 1, 16)
 
 
-def _lines(docs: DataFrame, host: str, text: str, *keep: Column) -> DataFrame:
-    """One row per distinct line of each row: its hash, the words of all its places, and the sketch of the other lines."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    every = F.filter(F.transform(F.split(t, "\n"), lambda x: F.struct(_line_id(x).alias("id"), _normal(x).alias("s"))), lambda x: x["s"] != "")
-    counted = F.transform(every, lambda x: F.struct(x["id"].alias("id"), F.size(F.split(x["s"], " ")).cast("long").alias("n")))
-    rows = docs.select(F.col(host).alias("_qr_host"), *keep, counted.alias("_qr_l"))
-    least = F.slice(F.sort_array(F.array_distinct(F.transform("_qr_l", lambda x: x["id"]))), 1, 2)
-    rows = rows.select("*", least.alias("_qr_min")).filter(F.size("_qr_l") > 0)
-    names = [c for c in rows.columns if c not in ("_qr_l", "_qr_min")]
-    one = rows.select(*names, "_qr_min", "_qr_l", F.explode(F.array_distinct(F.transform("_qr_l", lambda x: x["id"]))).alias("_qr_id"))
-    words = F.expr("aggregate(filter(_qr_l, x -> x.id = _qr_id), 0L, (a, x) -> a + x.n)")
-    sketch = F.when(F.col("_qr_id") == F.col("_qr_min")[0], F.get("_qr_min", F.lit(1))).otherwise(F.col("_qr_min")[0])
-    return one.select(*names, "_qr_id", words.alias("_qr_n"), F.coalesce(sketch, F.lit("")).alias("_qr_sketch"))
-
-
-def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = 20) -> DataFrame:
+def lines(docs: DataFrame, key: str, host: str, text: str) -> DataFrame:
+    """One row per line with a word: its document, host, hash, words, the sketch of the other lines, and whether it is the
+    line's first place in the document. Sorting each document's hashes finds the sketch and the first places."""
+    normal = F.filter(F.transform(F.split(_normal(F.coalesce(F.col(text), F.lit(""))), "\n"), _trimmed), lambda x: x != "")
+    hashed = F.sort_array(F.transform(normal, lambda x: F.struct(_line_id(x).alias("id"), F.size(F.split(x, " ")).cast("long").alias("n"))))
+    rows = docs.select(F.col(key).alias("_qr_key"), F.xxhash64(host, text).alias("_qr_hash"), F.col(host).alias("_qr_host"), hashed.alias("_qr_l"))
+    first = "transform(_qr_l, (x, i) -> named_struct('id', x.id, 'n', x.n, 'first', not (get(_qr_l, i - 1).id <=> x.id)))"
+    rows = rows.select("_qr_key", "_qr_hash", "_qr_host", F.expr(first).alias("_qr_l"))
+    least = F.expr("transform(slice(filter(_qr_l, x -> x.first), 1, 2), x -> x.id)")
+    one = rows.select("_qr_key", "_qr_hash", "_qr_host", least.alias("_qr_min"), F.inline("_qr_l"))
+    sketch = F.when(F.col("id") == F.col("_qr_min")[0], F.get("_qr_min", F.lit(1))).otherwise(F.col("_qr_min")[0])
+    return one.select("_qr_key", "_qr_hash", "_qr_host", F.col("id").alias("_qr_id"), F.col("n").alias("_qr_n"), F.col("first").alias("_qr_first"), F.coalesce(sketch, F.lit("")).alias("_qr_sketch"))
+
+
+def frequent_lines(rows: DataFrame, max_docs: int = 20) -> DataFrame:
     """(host, id) of the lines that over ``max_docs`` distinct documents of the host hold."""
-    per_sketch = _lines(docs, host, text).groupBy("_qr_host", "_qr_id", "_qr_sketch").agg(F.count(F.lit(1)).alias("c"))
+    per_sketch = rows.filter("_qr_first").groupBy("_qr_host", "_qr_id", "_qr_sketch").agg(F.count(F.lit(1)).alias("c"))
     counts = per_sketch.groupBy("_qr_host", "_qr_id").agg(F.sum("c").alias("n"), F.max("c").alias("top"))
     return counts.filter((F.col("n") - F.col("top") + 1 > max_docs) & (2 * F.col("top") <= F.col("n"))).select("_qr_host", "_qr_id")
 
@@ -93,14 +95,15 @@ def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", ma
 def _flagged(docs: DataFrame, key: str, host: str, text: str, max_docs: int) -> DataFrame:
     """Per document that holds frequent lines: their hashes and the number of their words.
 
-    A document is known by its key and a hash of its host and text, so repeated keys are told apart."""
-    common = written(frequent_lines(docs, host, text, max_docs), "frequent-lines").alias("f")
+    A document is known by its key and a hash of its host and text, so repeated keys are told apart. The lines are
+    written once, about 40 bytes each, and read for the counts and for the join."""
+    rows = written(lines(docs, key, host, text), "lines")
+    common = written(frequent_lines(rows, max_docs), "frequent-lines").alias("f")
     if common.count() <= BROADCAST_LINES:
         common = F.broadcast(common)
-    lines = _lines(docs, host, text, F.col(key).alias("_qr_key"), F.xxhash64(host, text).alias("_qr_hash")).alias("l")
-    hit = lines.join(common, (F.col("l._qr_id") == F.col("f._qr_id")) & F.col("l._qr_host").eqNullSafe(F.col("f._qr_host")))
-    # repeated rows are equal here, so the largest count of a line stands for each of them
-    per_line = hit.groupBy("_qr_key", "_qr_hash", "l._qr_id").agg(F.max("_qr_n").alias("_qr_n"))
+    hit = rows.alias("l").join(common, (F.col("l._qr_id") == F.col("f._qr_id")) & F.col("l._qr_host").eqNullSafe(F.col("f._qr_host")))
+    # rows repeated as a whole add up here: each copy has one first place of the line
+    per_line = hit.groupBy("_qr_key", "_qr_hash", "l._qr_id").agg((F.sum("_qr_n") / F.count_if("_qr_first")).cast("long").alias("_qr_n"))
     return per_line.groupBy("_qr_key", "_qr_hash").agg(F.sum("_qr_n").alias("_qr_removed"), F.collect_set("_qr_id").alias("_qr_ids"))
 
 
@@ -128,7 +131,7 @@ def clean(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
     rows = rows.withColumn("base_failed", base_failed()).filter("not base_failed")
     found = rows.join(flagged, F.col(key).eqNullSafe(F.col("_qr_key")) & (F.col("_qr_h2") == F.col("_qr_hash")), "left")
     found = found.withColumn("n_removed_words", F.coalesce("_qr_removed", F.lit(0)).cast("long")).filter(_verdict(min_words, min_share))
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_qr_ids", _line_id(x))), "\n")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_qr_ids", _line_id(_trimmed(_normal(x))))), "\n")
     return found.select(*[F.when(F.col("_qr_ids").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
@@ -146,7 +149,7 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
           SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (
             SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
 ln AS (SELECT doc_id, source, s, substr(md5(s), 1, 16) AS id, len(string_split(s, ' ')) AS n FROM (
-         SELECT doc_id, source, trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS s
+         SELECT doc_id, source, trim(regexp_replace(lower(x), '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS s
          FROM (SELECT doc_id, source, unnest(ls) AS x FROM w)) WHERE s <> ''),
 per AS (SELECT doc_id, source, id, sum(n) AS n FROM ln GROUP BY ALL),
 sk AS (SELECT *, coalesce(min(id) OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
