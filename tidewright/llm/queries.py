@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tidewright.llm import quality_rules
+from tidewright.llm import mixing, packing, quality_rules, records
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1,
+    "op2_mixing": mixing.op2,
+    "op6_token_records": records.op6,
     "op10_quality_rules": quality_rules.op10,
 }
 SQL = {
