@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewright.llm import mixing, packing, quality_rules, records
+from tidewright.llm import chat, minhash, mixing, packing, quality_rules, records
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op2_mixing": mixing.op2,
     "op6_token_records": records.op6,
+    "op8_minhash": minhash.op8,
+    "op9_chat": chat.op9,
     "op10_quality_rules": quality_rules.op10,
 }
 SQL = {
