@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tidewright.llm import chat, minhash, mixing, packing, quality_cnn, quality_rules, records
+from tidewright.llm import chat, minhash, mixing, packing, quality_cnn, quality_rules, records, subspace
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op2_mixing": mixing.op2,
     "op3_quality_cnn": quality_cnn.op3,
+    "op5_subspace_join": subspace.op5,
     "op6_token_records": records.op6,
     "op8_minhash": minhash.op8,
     "op9_chat": chat.op9,
     "op10_quality_rules": quality_rules.op10,
 }
 SQL = {
+    "op5_subspace_join": subspace.OP5_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
