@@ -11,7 +11,7 @@ from tidewright.llm.common import raw
 from tidewright.llm.tokens import encoder, vocabulary
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
-PARTS = st.sampled_from(["a", "the", " ", "  ", "\n", "\t", "\r\n", " ", "　", " ", "\u0085", "é", "é", "ß", "İ", "'s", "'", "<|endoftext|>", "1", "中", "🙂", "\x1c", "\x00", "!", "...", "x" * 40])
+PARTS = st.sampled_from(["a", "the", " ", "  ", "\n", "\t", "\r\n", " ", "　", " ", "\u0085", "é", "é", "ß", "İ", "'s", "'", "<|endoftext|>", "1", "中", "🙂", "\x1c", "\x00", "!", "...", ",", "-", "|", "_", "$", "Z", "\u0301", "x" * 40])
 
 
 def direct(name):

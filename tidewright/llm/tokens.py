@@ -1,12 +1,14 @@
 """Token ids of whole texts by the tokenizers library, each distinct piece of a block encoded once.
 
-A text is cut before every ASCII blank that follows a character which is surely no white space. Neither vocabulary used
-here has a token that spans such a place, so the ids of the pieces, one after another, are the ids of the text.
+A text is cut before every ASCII blank that follows a character which is surely no white space, and before ASCII
+punctuation (but the apostrophe) that follows an ASCII letter. Neither vocabulary used here has a token that spans such a
+place, so the ids of the pieces, one after another, are the ids of the text.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,10 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 _SOLID = np.zeros(256, bool)
 _SOLID[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_POINT = np.zeros(256, bool)
+_POINT[[c for c in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 _LEAD = np.zeros(256, bool)  # first bytes of two-byte characters none of which is white space
 _LEAD[0xC3:0xE0] = True
 
@@ -34,6 +40,7 @@ def pieces(body: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     solid = _SOLID[body]
     solid[1:] |= _LEAD[body[:-1]]
     cut[1:] &= solid[:-1]
+    cut[1:] |= _POINT[body[1:]] & _LETTER[body[:-1]]
     cut[0] = True
     cut[ends[:-1][ends[:-1] < body.size]] = True
     starts = np.flatnonzero(cut)
@@ -71,7 +78,7 @@ class Encoder:
             total = int(self.ends[n + len(part)])
             while total > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.ends[n] : total] = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
+            self.ids[self.ends[n] : total] = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
             self.known.update(zip(part, range(n, n + len(part)), strict=True))
 
     def __call__(self, body: np.ndarray, ends: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +91,11 @@ class Encoder:
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > self.most:
             self._forget()
-        new = [x for x in distinct if x not in self.known]
-        if new:
-            self._learn(new)
-        known = self.known
-        places = np.fromiter((known[x] for x in distinct), np.int64, len(distinct))
+        places = list(map(self.known.get, distinct))
+        if None in places:
+            self._learn([x for x, k in zip(distinct, places, strict=True) if k is None])
+            places = list(map(self.known.get, distinct))
+        places = np.array(places, np.int64)
         at = places[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = self.ends[at + 1] - self.ends[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
