@@ -76,11 +76,13 @@ def lines(docs: DataFrame, key: str, host: str, text: str) -> DataFrame:
     line's first place in the document. Sorting each document's hashes finds the sketch and the first places."""
     normal = F.filter(F.transform(F.split(_normal(F.coalesce(F.col(text), F.lit(""))), "\n"), _trimmed), lambda x: x != "")
     hashed = F.sort_array(F.transform(normal, lambda x: F.struct(_line_id(x).alias("id"), F.size(F.split(x, " ")).cast("long").alias("n"))))
-    rows = docs.select(F.col(key).alias("_qr_key"), F.xxhash64(host, text).alias("_qr_hash"), F.col(host).alias("_qr_host"), hashed.alias("_qr_l"))
-    first = "transform(_qr_l, (x, i) -> named_struct('id', x.id, 'n', x.n, 'first', not (get(_qr_l, i - 1).id <=> x.id)))"
-    rows = rows.select("_qr_key", "_qr_hash", "_qr_host", F.expr(first).alias("_qr_l"))
-    least = F.expr("transform(slice(filter(_qr_l, x -> x.first), 1, 2), x -> x.id)")
-    one = rows.select("_qr_key", "_qr_hash", "_qr_host", least.alias("_qr_min"), F.inline("_qr_l"))
+    # bound to one variable each, so that neither is worked out again for every element
+    first = F.transform(F.array(hashed), lambda s: F.transform(s, lambda x, i: F.struct(x["id"].alias("id"), x["n"].alias("n"), (~F.get(s, i - 1)["id"].eqNullSafe(x["id"])).alias("first"))))[0]
+    both = F.transform(F.array(first), lambda s: F.struct(s.alias("lines"), F.slice(F.transform(F.filter(s, lambda x: x["first"]), lambda x: x["id"]), 1, 2).alias("least")))[0]
+    rows = docs.select(F.col(key).alias("_qr_key"), F.xxhash64(host, text).alias("_qr_hash"), F.col(host).alias("_qr_host"), both.alias("_qr_s"))
+    rows = rows.select("_qr_key", "_qr_hash", "_qr_host", F.col("_qr_s.least").alias("_qr_min"), F.col("_qr_s.lines").alias("_qr_l"))
+    # the outer form, as the plain one adds a filter that works the array out again
+    one = rows.select("_qr_key", "_qr_hash", "_qr_host", "_qr_min", F.inline_outer("_qr_l")).filter("id is not null")
     sketch = F.when(F.col("id") == F.col("_qr_min")[0], F.get("_qr_min", F.lit(1))).otherwise(F.col("_qr_min")[0])
     return one.select("_qr_key", "_qr_hash", "_qr_host", F.col("id").alias("_qr_id"), F.col("n").alias("_qr_n"), F.col("first").alias("_qr_first"), F.coalesce(sketch, F.lit("")).alias("_qr_sketch"))
 
