@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewright.llm import chat, minhash, mixing, packing, quality_cnn, quality_rules, records, subspace
+from tidewright.llm import chat, licences, minhash, mixing, packing, quality_cnn, quality_rules, records, subspace
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_cnn": quality_cnn.op3,
     "op5_subspace_join": subspace.op5,
     "op6_token_records": records.op6,
+    "op7_licences": licences.op7,
     "op8_minhash": minhash.op8,
     "op9_chat": chat.op9,
     "op10_quality_rules": quality_rules.op10,
