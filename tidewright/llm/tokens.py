@@ -52,7 +52,7 @@ def pieces(body: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 class Encoder:
     """Ids of blocks of texts. Up to ``most`` pieces stay known between blocks; then it starts anew."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,7 +65,7 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
+        self.ends = np.zeros(1 << 14, np.int32)
 
     def _learn(self, new: list[bytes]) -> None:
         for k in range(0, len(new), 20_000):
@@ -95,11 +95,14 @@ class Encoder:
         if None in places:
             self._learn([x for x, k in zip(distinct, places, strict=True) if k is None])
             places = list(map(self.known.get, distinct))
-        places = np.array(places, np.int64)
+        places = np.array(places, np.int32)
         at = places[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = self.ends[at + 1] - self.ends[at]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        stream = self.ids[np.repeat(self.ends[at] - total[:-1], sizes) + np.arange(total[-1])]
+        total = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=total[1:])
+        index = np.repeat(self.ends[at] - total[:-1], sizes)
+        index += np.arange(total[-1], dtype=np.int32)
+        stream = self.ids[index]
         bounds = total[per_text]
         out_ends = bounds + np.arange(n_texts + 1)
         out = np.empty(int(out_ends[-1]), np.uint32)
