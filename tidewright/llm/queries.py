@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewright.llm import chat, licences, minhash, mixing, packing, quality_cnn, quality_rules, records, subspace
+from tidewright.llm import chat, licences, minhash, mixing, packing, quality_cnn, quality_rules, records, subspace, suffix_tree
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op2_mixing": mixing.op2,
     "op3_quality_cnn": quality_cnn.op3,
+    "op4_suffix_tree": suffix_tree.op4,
     "op5_subspace_join": subspace.op5,
     "op6_token_records": records.op6,
     "op7_licences": licences.op7,
