@@ -39,19 +39,20 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.char_length(t) - F.char_length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
     )
-    at = ", ".join(f"_qr_w[i + {k}]" for k in range(WINDOW))
-    windows = F.expr(f"if(size(_qr_w) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(_qr_w) - {WINDOW}), i -> xxhash64({at})))")
+    at = ", ".join(f"w[i + {k}]" for k in range(WINDOW))
+    # bound to a variable: else a filter pushed down to here would split the text anew for every window
+    windows = F.expr(f"transform(array(_qr_w), w -> if(size(w) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(w) - {WINDOW}), i -> xxhash64({at}))))[0]")
     step = step.select(*keep, "word_chars", "n_symbols", "n_dup_lines", F.size("_qr_w").cast("long").alias("n_words"), windows.alias("_qr_h"))
     # windows sorted by hash; those equal to a neighbour repeat; the words they cover, counted from left to right
     repeated = F.expr(f"""
-        if(size(array_distinct(_qr_h)) = size(_qr_h), 0L,
+        transform(array(_qr_h), hs -> if(size(array_distinct(hs)) = size(hs), 0L,
            aggregate(
-             transform(array(sort_array(transform(_qr_h, (h, i) -> named_struct('h', h, 'i', i)))), s ->
+             transform(array(sort_array(transform(hs, (h, i) -> named_struct('h', h, 'i', i)))), s ->
                sort_array(transform(filter(transform(s, (x, k) -> named_struct('i', x.i, 'r',
                    (get(s, k - 1).h <=> x.h) or (get(s, k + 1).h <=> x.h))), y -> y.r), y -> y.i)))[0],
              named_struct('n', 0L, 'last', -{WINDOW}),
              (a, v) -> named_struct('n', a.n + least({WINDOW}, v - a.last), 'last', v),
-             a -> a.n))""")
+             a -> a.n)))[0]""")
     return step.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.cast("long").alias("n_repeat_words"))
 
 
@@ -130,7 +131,8 @@ def clean(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
     A text without frequent lines stays as it is to the byte."""
     flagged = _flagged(docs, key, host, text, max_docs)
     rows = features(docs.withColumns({"_qr_text": F.col(text), "_qr_h2": F.xxhash64(host, text)}), "_qr_text")
-    rows = rows.withColumn("base_failed", base_failed()).filter("not base_failed")
+    # the row number keeps the filters above it, where each count has been worked out once
+    rows = rows.withColumn("_qr_row", F.monotonically_increasing_id()).withColumn("base_failed", base_failed()).filter("_qr_row >= 0 and not base_failed")
     found = rows.join(flagged, F.col(key).eqNullSafe(F.col("_qr_key")) & (F.col("_qr_h2") == F.col("_qr_hash")), "left")
     found = found.withColumn("n_removed_words", F.coalesce("_qr_removed", F.lit(0)).cast("long")).filter(_verdict(min_words, min_share))
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_qr_ids", _line_id(_trimmed(_normal(x))))), "\n")
