@@ -2,5 +2,241 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewright.operators import gate, joins, keyed, query
+from tidewright.plans.compile import build
+from tidewright.plans.ir import from_mapping
+from tidewright.sources.union import union_by_name
+from tidewright.streaming import windows
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+def steps(name: str, table: str, body: list, sql: str, first: dict | None = None) -> None:
+    """A transform given as a user would write it."""
+    plan = from_mapping({"name": name, "input": f"{table}.parquet", "output": "out", "map": first, "steps": body})
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(t(spark, sf_dir, table), plan)
+
+    register(name, sql)(run)
+
+
+def sql_query(name: str, text: str, oracle: str | None = None) -> None:
+    """An ad-hoc query; tables are named by their files."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query.run(spark, text.format(d=sf_dir))
+
+    register(name, oracle or text.replace("'{d}/", "").replace(".parquet'", ""))(run)
+
+
+# transform steps
+steps("t_filter", "orders", [{"filter": "o_totalprice > 100000 AND o_orderpriority IS NOT NULL"}, {"select": ["o_orderkey", "o_totalprice"]}], "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderpriority IS NOT NULL")
+steps("t_map", "lineitem", [], "SELECT l_orderkey AS id, l_quantity * 2 AS twice, upper(l_returnflag) || '-' || l_linestatus AS tag FROM lineitem", {"id": "l_orderkey", "twice": "l_quantity * 2", "tag": "upper(l_returnflag) || '-' || l_linestatus"})
+steps("t_rename_last", "nation", [{"rename": {"n_nationkey": "id", "n_name": "name"}}], "SELECT n_regionkey, n_nationkey AS id, n_name AS name FROM nation")
+steps("t_cast_halfeven", "lineitem", [{"derive": {"half": "l_quantity / 2"}}, {"cast": {"half": "bigint", "l_extendedprice": "integer"}}, {"select": ["l_orderkey", "l_linenumber", "half", "l_extendedprice"]}], "SELECT l_orderkey, l_linenumber, CAST(l_quantity / 2 AS BIGINT) AS half, CAST(l_extendedprice AS INTEGER) AS l_extendedprice FROM lineitem")
+steps("t_cast_decimal", "orders", [{"cast": {"o_totalprice": "decimal"}}, {"derive": {"cents": "CAST(round(o_totalprice, 2) * 100 AS bigint)"}}, {"select": ["o_orderkey", "cents"]}], "SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(38,9)), 2) * 100 AS BIGINT) AS cents FROM orders")
+steps("t_derive_lateral", "lineitem", [{"derive": {"net": "l_extendedprice * (1 - l_discount)", "gross": "net * (1 + l_tax)"}}, {"select": ["l_orderkey", "l_linenumber", "net", "gross"]}], "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross FROM lineitem")
+steps("t_derive_collision", "nation", [{"derive": {"n_name": "lower(n_name)"}}], "SELECT n_nationkey, n_name, n_regionkey, lower(n_name) AS n_name_1 FROM nation")
+steps("t_select_order", "customer", [{"select": ["c_mktsegment", "c_custkey"]}], "SELECT c_mktsegment, c_custkey FROM customer")
+steps("t_dedup", "customer", [{"select": ["c_mktsegment", "c_nationkey"]}, {"dedup": ["c_mktsegment", "c_nationkey"]}], "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
+steps("t_dedup_ordered", "orders", [{"dedup": {"keys": ["o_custkey"], "order_by": ["o_totalprice DESC", "o_orderkey"]}}, {"select": ["o_custkey", "o_orderkey"]}], "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+steps("t_sql_step", "orders", [{"sql": "SELECT o_orderstatus, count(*) AS n FROM {input} GROUP BY o_orderstatus"}], "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+steps("t_udf", "customer", [{"python": "tidewright.functions.samples:initials", "args": ["c_name"], "output": "mark"}, {"select": ["c_custkey", "mark"]}], "SELECT c_custkey, upper(substr(c_name, 1, 2)) AS mark FROM customer")
+steps("t_chain", "orders", [{"filter": "o_orderstatus <> 'P'"}, {"derive": {"year": "extract(year FROM o_orderdate)", "big": "CASE WHEN o_totalprice > 150000 THEN 'y' ELSE 'n' END"}}, {"cast": {"o_totalprice": "bigint", "year": "bigint"}}, {"rename": {"o_totalprice": "price"}}, {"select": ["o_orderkey", "year", "big", "price"]}], "SELECT o_orderkey, extract(year FROM o_orderdate) AS year, CASE WHEN o_totalprice > 150000 THEN 'y' ELSE 'n' END AS big, CAST(o_totalprice AS BIGINT) AS price FROM orders WHERE o_orderstatus <> 'P'")
+
+# aliases and functions
+steps("fn_string", "part", [], "SELECT p_partkey, trim(p_name) AS a, replace(p_name, 'a', 'b') AS b, substring(p_type, 2, 3) AS c, CAST(length(p_name) AS BIGINT) AS d, CAST(position('a' IN p_name) AS BIGINT) AS e, split_part(p_brand, '#', 2) AS f, translate(p_name, 'ae', 'xy') AS g, sha256(p_brand) AS h, lpad(p_brand, 12, '*') AS i FROM part", {"p_partkey": "p_partkey", "a": "trim(p_name)", "b": "replace(p_name, 'a', 'b')", "c": "substring(p_type, 2, 3)", "d": "CAST(length(p_name) AS bigint)", "e": "CAST(position('a' IN p_name) AS bigint)", "f": "split_part(p_brand, '#', 2)", "g": "translate(p_name, 'ae', 'xy')", "h": "sha256(p_brand)", "i": "lpad(p_brand, 12, '*')"})
+steps("fn_date", "orders", [], "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS ym, date_diff('month', TIMESTAMP '1992-01-15 00:00:00', o_orderdate) AS months, date_diff('day', TIMESTAMP '1992-01-15 12:00:00', o_orderdate) AS days, CAST(extract(month FROM o_orderdate) AS BIGINT) AS m, CAST(date_trunc('month', o_orderdate) AS VARCHAR) AS t FROM orders", {"o_orderkey": "o_orderkey", "ym": "strftime(o_orderdate, '%Y-%m')", "months": "date_diff('month', TIMESTAMP_NTZ '1992-01-15 00:00:00', o_orderdate)", "days": "date_diff('day', TIMESTAMP_NTZ '1992-01-15 12:00:00', o_orderdate)", "m": "CAST(extract(month FROM o_orderdate) AS bigint)", "t": "CAST(date_trunc('month', o_orderdate) AS VARCHAR)"})
+steps("fn_math", "lineitem", [], "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, CAST(ceil(l_extendedprice) AS BIGINT) AS b, CAST(floor(l_extendedprice) AS BIGINT) AS c, l_orderkey % 7 AS d, mod(l_partkey, 5) AS e, round(sqrt(l_quantity), 6) AS f, power(l_linenumber, 2) AS g, l_orderkey // 3 AS h FROM lineitem", {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "a": "abs(l_discount - 0.05D)", "b": "CAST(ceil(l_extendedprice) AS bigint)", "c": "CAST(floor(l_extendedprice) AS bigint)", "d": "l_orderkey % 7", "e": "mod(l_partkey, 5)", "f": "round(sqrt(l_quantity), 6)", "g": "power(l_linenumber, 2)", "h": "l_orderkey // 3"})
+steps("fn_null", "orders", [], "SELECT o_orderkey, coalesce(nullif(o_orderpriority, '5-LOW'), 'none') AS a, nullif(o_orderstatus, 'F') || 'x' AS b, o_orderpriority IN ('1-URGENT', '2-HIGH') AS c, o_totalprice BETWEEN 1000 AND 100000 AS d, o_orderpriority LIKE '%I%' AS e FROM orders", {"o_orderkey": "o_orderkey", "a": "coalesce(nullif(o_orderpriority, '5-LOW'), 'none')", "b": "nullif(o_orderstatus, 'F') || 'x'", "c": "o_orderpriority IN ('1-URGENT', '2-HIGH')", "d": "o_totalprice BETWEEN 1000 AND 100000", "e": "o_orderpriority LIKE '%I%'"})
+steps("fn_json", "events", [], "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events", {"event_id": "event_id", "k": "json_extract_string(props, '$.k')"})
+steps("fn_array", "embeddings", [], "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings", {"vec_id": "vec_id", "n": "CAST(size(embedding) AS bigint)", "total": "round(list_sum(transform(embedding, x -> CAST(x AS double))), 4)"})
+steps("fn_regexp_first", "part", [], "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '_') AS one, regexp_replace(p_name, '[aeiou]', '_', 'g') AS all_ FROM part", {"p_partkey": "p_partkey", "one": "regexp_replace(p_name, '[aeiou]', '_')", "all_": "regexp_replace(p_name, '[aeiou]', '_', 'g')"})
+
+# ad-hoc SQL
+for _name, _text in {
+    "join_inner": "SELECT o_orderkey, c_name FROM '{d}/orders.parquet' JOIN '{d}/customer.parquet' ON o_custkey = c_custkey WHERE c_acctbal > 0",
+    "join_left": "SELECT c_custkey, o_orderkey FROM '{d}/customer.parquet' LEFT JOIN '{d}/orders.parquet' ON o_custkey = c_custkey AND o_totalprice > 200000",
+    "join_right": "SELECT c_custkey, o_orderkey FROM '{d}/orders.parquet' RIGHT JOIN '{d}/customer.parquet' ON o_custkey = c_custkey AND o_orderstatus = 'P'",
+    "join_full": "SELECT s_suppkey, n_name FROM '{d}/supplier.parquet' FULL JOIN '{d}/nation.parquet' ON s_nationkey = n_nationkey AND n_regionkey = 1",
+    "join_semi": "SELECT c_custkey FROM '{d}/customer.parquet' WHERE EXISTS (SELECT 1 FROM '{d}/orders.parquet' WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
+    "join_anti": "SELECT c_custkey FROM '{d}/customer.parquet' WHERE NOT EXISTS (SELECT 1 FROM '{d}/orders.parquet' WHERE o_custkey = c_custkey)",
+    "join_cross": "SELECT r_name, n_name FROM '{d}/region.parquet' CROSS JOIN '{d}/nation.parquet'",
+    "join_theta": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM '{d}/nation.parquet' a JOIN '{d}/nation.parquet' b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    "join_three": "SELECT r_name, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM '{d}/customer.parquet' JOIN '{d}/nation.parquet' ON c_nationkey = n_nationkey JOIN '{d}/region.parquet' ON n_regionkey = r_regionkey GROUP BY r_name",
+    "agg_scalar": "SELECT count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high, round(avg(o_totalprice), 4) AS mean FROM '{d}/orders.parquet'",
+    "agg_group": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18,2))) AS qty, round(avg(l_extendedprice), 4) AS price FROM '{d}/lineitem.parquet' GROUP BY l_returnflag, l_linestatus",
+    "agg_filter": "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 100000) AS big, count(*) AS n FROM '{d}/orders.parquet' GROUP BY o_orderstatus",
+    "agg_distinct": "SELECT count(DISTINCT o_custkey) AS n FROM '{d}/orders.parquet'",
+    "agg_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM '{d}/orders.parquet' GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "agg_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM '{d}/orders.parquet' GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "agg_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM '{d}/orders.parquet' GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "agg_having": "SELECT o_custkey, count(*) AS n FROM '{d}/orders.parquet' GROUP BY o_custkey HAVING count(*) > 12",
+    "win_row_number": "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn FROM '{d}/orders.parquet'",
+    "win_rank": "SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS d FROM '{d}/customer.parquet'",
+    "win_ntile": "SELECT c_custkey, CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS q FROM '{d}/customer.parquet'",
+    "win_lag_lead": "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after FROM '{d}/orders.parquet'",
+    "win_running_sum": "SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS qty FROM '{d}/lineitem.parquet'",
+    "win_moving_avg": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean FROM '{d}/events.parquet'",
+    "win_first_last": "SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first FROM '{d}/orders.parquet'",
+    "sort_topk": "SELECT o_orderkey, o_totalprice FROM '{d}/orders.parquet' ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25",
+    "set_union_all": "SELECT c_nationkey AS k FROM '{d}/customer.parquet' UNION ALL SELECT s_nationkey AS k FROM '{d}/supplier.parquet'",
+    "set_union": "SELECT c_nationkey AS k FROM '{d}/customer.parquet' UNION SELECT s_nationkey AS k FROM '{d}/supplier.parquet'",
+    "set_intersect": "SELECT c_custkey AS k FROM '{d}/customer.parquet' INTERSECT SELECT o_custkey AS k FROM '{d}/orders.parquet'",
+    "set_except": "SELECT c_custkey AS k FROM '{d}/customer.parquet' EXCEPT SELECT o_custkey AS k FROM '{d}/orders.parquet'",
+    "set_except_all": "SELECT o_custkey AS k FROM '{d}/orders.parquet' EXCEPT ALL SELECT c_custkey AS k FROM '{d}/customer.parquet'",
+    "q_distinct": "SELECT DISTINCT c_mktsegment FROM '{d}/customer.parquet'",
+    "q_date_range": "SELECT o_orderkey FROM '{d}/orders.parquet' WHERE o_orderdate >= DATE '1994-01-01' AND o_orderdate < DATE '1995-01-01'",
+    "q_date_trunc_group": "SELECT CAST(date_trunc('month', o_orderdate) AS VARCHAR) AS month, count(*) AS n FROM '{d}/orders.parquet' GROUP BY 1",
+    "q_limit_zero": "SELECT n_nationkey, n_name FROM '{d}/nation.parquet' LIMIT 0",
+    "q_scalar_subquery": "SELECT o_orderkey FROM '{d}/orders.parquet' WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM '{d}/orders.parquet')",
+    "q_cte": "WITH big AS (SELECT o_custkey, count(*) AS n FROM '{d}/orders.parquet' GROUP BY o_custkey) SELECT n, count(*) AS customers FROM big GROUP BY n",
+    "freshness_by_source": "SELECT event_type, CAST(max(ts) AS VARCHAR) AS latest, count(*) AS n FROM '{d}/events.parquet' GROUP BY event_type",
+}.items():
+    sql_query(_name, _text)
+
+
+@register("agg_approx_distinct")
+def _(spark, d):
+    return t(spark, d, "orders").agg(F.approx_count_distinct("o_custkey").alias("n"))
+
+
+@register("join_asof", "SELECT e.event_id, (SELECT max_by(p.event_id, (p.ts, p.event_id)) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts <= e.ts) AS last_id FROM events e WHERE e.event_type = 'click'")
+def _(spark, d):
+    e = t(spark, d, "events")
+    bought = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_id"))
+    return joins.asof(e.filter("event_type = 'click'").select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", ["last_id"]).select("event_id", "last_id")
+
+
+@register("join_range", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_partkey >= s_suppkey * 10 AND p_partkey < s_suppkey * 10 + 5")
+def _(spark, d):
+    ranges = t(spark, d, "supplier").selectExpr("s_suppkey", "s_suppkey * 10 AS low", "s_suppkey * 10 + 5 AS high")
+    return joins.in_ranges(t(spark, d, "part"), ranges, "p_partkey", "low", "high", 64).select("p_partkey", "s_suppkey")
+
+
+# gate
+RULES = [gate.Rule("priority", "not_null"), gate.Rule("o_custkey", "unique"), gate.Rule("o_totalprice", "min", 1000), gate.Rule("o_totalprice", "max", 300000)]
+
+
+def _checked(spark, d):
+    return t(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", "o_totalprice", "nullif(o_orderpriority, '5-LOW') AS priority")
+
+
+_O = "(SELECT o_orderkey, o_custkey, o_totalprice, nullif(o_orderpriority, '5-LOW') AS priority FROM orders)"
+_BAD = "priority IS NULL OR o_totalprice < 1000 OR o_totalprice > 300000"
+
+
+@register("gate_counts", f'SELECT count(*) - count(priority) AS "not_null:priority", count(o_custkey) - count(DISTINCT o_custkey) AS "unique:o_custkey", count(*) FILTER (WHERE o_totalprice < 1000) AS "min:o_totalprice", count(*) FILTER (WHERE o_totalprice > 300000) AS "max:o_totalprice" FROM {_O}')
+def _(spark, d):
+    return gate.counts(_checked(spark, d), RULES)
+
+
+@register("gate_split_good", f"SELECT * FROM {_O} WHERE NOT ({_BAD})")
+def _(spark, d):
+    return gate.split(_checked(spark, d), [r for r in RULES if r.kind != "unique"])[0]
+
+
+@register("gate_split_bad", f"SELECT * FROM {_O} WHERE {_BAD}")
+def _(spark, d):
+    return gate.split(_checked(spark, d), [r for r in RULES if r.kind != "unique"])[1]
+
+
+@register("gate_unique_copies", "SELECT o_orderkey FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1 AND o_custkey IS NOT NULL")
+def _(spark, d):
+    return gate.split(_checked(spark, d), [gate.Rule("o_custkey", "unique")])[1].select("o_orderkey")
+
+
+# keyed tables, change events, outbound
+@register("upsert_last_wins", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def _(spark, d):
+    return keyed.last_per_key(t(spark, d, "events"), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
+@register("inc_by_key_merge", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0")
+def _(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return keyed.upserted(c, c.filter("c_custkey % 3 = 0").selectExpr("c_custkey", "c_acctbal + 1 AS c_acctbal"), ["c_custkey"])
+
+
+@register("cdc_current_state", "SELECT user_id, event_id, value FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'click'")
+def _(spark, d):
+    e = t(spark, d, "events").selectExpr("CAST(event_id AS string) AS event_id", "event_id AS sequence", "CASE event_type WHEN 'click' THEN 'D' WHEN 'view' THEN 'I' ELSE 'U' END AS op", "struct(user_id) AS key", "struct(user_id, event_id, value) AS payload")
+    return keyed.applied(None, None, e, ["user_id"])[0]
+
+
+@register("dispatch_diff", "SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 5 = 0 THEN 'insert' WHEN c_custkey % 5 = 1 THEN 'update' ELSE 'unchanged' END AS action FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR) AS key, 'delete' AS action FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 5 <> 0")
+def _(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_name")
+    before = keyed.changes(c.filter("c_custkey % 5 <> 0").withColumn("c_name", F.expr("if(c_custkey % 5 = 1, 'old', c_name)")), spark.createDataFrame([], "key string, hash string, dead boolean"), "c_custkey")
+    return keyed.changes(c.filter("c_custkey % 7 <> 0"), before.select("key", "hash", F.lit(False).alias("dead")), "c_custkey", "mirror").select("key", "action")
+
+
+@register("compaction_union", "SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_acctbal AS DOUBLE) AS v, NULL AS extra FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, CAST(CAST(c_nationkey AS BIGINT) AS DOUBLE), c_mktsegment FROM customer WHERE c_custkey % 2 = 1")
+def _(spark, d):
+    c = t(spark, d, "customer")
+    return union_by_name([c.filter("c_custkey % 2 = 0").selectExpr("CAST(c_custkey AS int) AS k", "c_acctbal AS v"), c.filter("c_custkey % 2 = 1").selectExpr("c_custkey AS K", "CAST(c_nationkey AS bigint) AS v", "c_mktsegment AS extra")])
+
+
+@register("profile_top_values", "SELECT * FROM (SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 ORDER BY n DESC, 2 LIMIT 3) UNION ALL SELECT * FROM (SELECT 'o_orderpriority', o_orderpriority, count(*) AS n FROM orders GROUP BY 2 ORDER BY n DESC, 2 LIMIT 3)")
+def _(spark, d):
+    return query.profile(t(spark, d, "orders"), 3)
+
+
+# streams, as tables
+@register("watermark_late_rows", "SELECT event_id FROM events WHERE event_id % 2 = 1 AND ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_id % 2 = 0)")
+def _(spark, d):
+    from datetime import timedelta
+
+    from tidewright.streaming import watermark as w
+
+    e = w.with_event_time(t(spark, d, "events"), "ts", zoneless_is_utc=True)
+    mark = w.advanced(e.filter("event_id % 2 = 0"), None, timedelta(hours=1))
+    return w.parted(e.filter("event_id % 2 = 1"), mark, "drop")[1].select("event_id")
+
+
+@register("watermark_value", "SELECT CAST(max(ts) - INTERVAL 90 MINUTE AS VARCHAR) AS watermark FROM events")
+def _(spark, d):
+    from tidewright.streaming import watermark as w
+
+    e = w.with_event_time(t(spark, d, "events"), "ts", zoneless_is_utc=True)
+    return e.agg((F.max("_event_time") - w.lateness("PT1H30M")).cast("string").alias("watermark"))
+
+
+@register("stream_tumbling", "SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS VARCHAR) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return windows.tumbling(t(spark, d, "events"), "ts", "1 hour", "event_type").withColumn("start", F.col("start").cast("string"))
+
+
+@register("stream_sliding", "SELECT CAST(start AS VARCHAR) AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY 1")
+def _(spark, d):
+    return windows.sliding(t(spark, d, "events"), "ts", "1 hour", "30 minutes").withColumn("start", F.col("start").cast("string"))
+
+
+@register("stream_session", "SELECT CAST(min(ts) AS VARCHAR) AS start, user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, s")
+def _(spark, d):
+    return windows.sessions(t(spark, d, "events"), "ts", "12 hours", "user_id").withColumn("start", F.col("start").cast("string"))
+
+
+@register("win_topk_per_key", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
+def _(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return t(spark, d, "orders").withColumn("r", F.row_number().over(w)).filter("r <= 3").select("o_custkey", "o_orderkey")

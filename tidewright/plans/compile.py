@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +59,13 @@ def fresh(name: str, taken: set[str]) -> str:
     return out
 
 
+def ordering(text: str) -> Column:
+    """``expression [ASC|DESC] [NULLS FIRST|LAST]``; nulls come last unless said."""
+    m = re.fullmatch(r"(?is)(.*?)(?:\s+(asc|desc))?(?:\s+nulls\s+(first|last))?", text.strip())
+    c, down, first = F.expr(to_spark(m[1])), (m[2] or "").lower() == "desc", (m[3] or "last").lower() == "first"
+    return (c.desc_nulls_first() if first else c.desc_nulls_last()) if down else (c.asc_nulls_first() if first else c.asc_nulls_last())
+
+
 def apply_step(df: DataFrame, step: Step) -> DataFrame:
     kind, body = step.kind, step.body
     if kind == "map":
@@ -86,7 +94,7 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
         order = body.get("order_by") if isinstance(body, dict) else None
         if not order:
             return df.dropDuplicates(keys)
-        w = Window.partitionBy(*map(q, keys)).orderBy(*[F.expr(to_spark(o)) for o in order])
+        w = Window.partitionBy(*map(q, keys)).orderBy(*map(ordering, order))
         return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
     if kind == "select":
         known(df, body)
