@@ -49,7 +49,7 @@ def read_csv(spark: SparkSession, path: str, column_types: dict | None = None, n
     for i, c in enumerate(free):
         col = F.col(f"`{c}`")
         asked += [F.max(F.when(col.isNotNull(), 1)).alias(f"s{i}"), F.max(F.when(col.rlike(r"^-?0\d+$"), 1)).alias(f"z{i}")]
-        asked += [F.coalesce(F.bool_and(col.rlike(p) & col.try_cast(t).isNotNull()), F.lit(True)).alias(f"{t}{i}") for t, p in checks.items()]
+        asked += [F.coalesce(F.bool_and(F.when(col.isNotNull(), col.rlike(p) & col.try_cast(t).isNotNull())), F.lit(True)).alias(f"{t}{i}") for t, p in checks.items()]
     got = text.agg(*asked).first() if asked else None
     types = {c: PINNED[t] for c, t in pinned.items()}
     for i, c in enumerate(free):
