@@ -157,3 +157,20 @@ def test_publish_swaps(spark, tmp_path):
     publish.publish(spark.range(5).toDF("id"), where)
     assert old.count() == 3 and publish.read(spark, where).count() == 5
     assert read_parquet(spark, publish.current(where)).count() == 5
+
+
+def test_asof_slices_give_the_same(spark):
+    from tidewright.operators.joins import asof, in_ranges
+
+    left = spark.sql("SELECT id, id % 3 AS k, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id * 7) AS t FROM range(60)")
+    right = spark.sql("SELECT id AS r, id % 2 AS k, TIMESTAMP_NTZ '2024-01-01 12:00:00' + make_interval(0, 0, 0, 0, id * 31) AS t FROM range(12)")
+    plain = {tuple(r) for r in asof(left, right, ["k"], "t", ["r"]).collect()}
+    assert plain == {tuple(r) for r in asof(left, right, ["k"], "t", ["r"], slices="day").collect()}
+    rows, want = right.collect(), {}
+    for x in left.collect():
+        have = [y for y in rows if y.k == x.k and y.t <= x.t]
+        want[x.id] = max(have, key=lambda y: y.t).r if have else None
+    assert {r[0]: r[-1] for r in plain} == want
+    p, q = spark.range(100).toDF("x"), spark.sql("SELECT id AS g, id * 9 AS lo, id * 9 + 20 AS hi FROM range(8)")
+    got = sorted((r.x, r.g) for r in in_ranges(p, q, "x", "lo", "hi", 16).collect())
+    assert got == sorted((x, g) for x in range(100) for g in range(8) if g * 9 <= x < g * 9 + 20)

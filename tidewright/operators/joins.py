@@ -6,14 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], prefix: str = "") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], prefix: str = "", slices: str | None = None) -> DataFrame:
     """Each left row with ``values`` of the latest right row of the same key at or before it: one shuffle and a running
-    last value, no matter how many right rows a key has."""
-    a = left.select(F.struct(*left.columns).alias("_l"), *by, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_r"))
+    last value, no matter how many right rows a key has.
+
+    A key with very many rows is dealt by time as well if ``slices`` names a unit (day, month, ...): each slice runs for
+    itself and starts from the last value of the slices before, of which there are few."""
+    kind = right.select(F.struct(*values)).schema[0].dataType
+    a = left.select(F.struct(*left.columns).alias("_l"), *by, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_r"))
     b = right.select(F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), *by, F.col(on).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_r"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
-    return both.select("_l.*", *[F.col(f"_r.{v}").alias(f"{prefix}{v}") for v in values])
+    both = a.unionByName(b)
+    keys = list(by)
+    if slices:
+        both, keys = both.withColumn("_s", F.date_trunc(slices, "_t")), [*by, "_s"]
+    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
+    if slices:
+        per = both.groupBy(*keys).agg(F.max_by(F.when(F.col("_side") == 0, F.col("_r")), F.when(F.col("_side") == 0, F.col("_t"))).alias("_c"))
+        run = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        carried = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.last("_c", ignorenulls=True).over(run).alias("_c"))
+        on_keys = F.lit(True)
+        for i, k in enumerate(keys):
+            on_keys = on_keys & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        out = out.join(carried, on_keys, "left").withColumn("_r", F.coalesce("_r", "_c"))
+    return out.select("_l.*", *[F.col(f"_r.{v}").alias(f"{prefix}{v}") for v in values])
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
