@@ -9,7 +9,7 @@ documents, the line is no boilerplate. Lines above ``max_docs`` are removed; a d
 
 Defined cases: a null or empty text has no words, lines or symbols and fails the base rules; a null host is a host of
 its own; repeated rows are each judged and get equal verdicts; a document whose only line is shared counts as a copy;
-extra columns pass through ``clean`` untouched and names that start with ``_qr_`` are reserved.
+extra columns pass through ``clean`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -130,13 +130,16 @@ def clean(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
 
     A text without frequent lines stays as it is to the byte."""
     flagged = _flagged(docs, key, host, text, max_docs)
-    rows = features(docs.withColumns({"_qr_text": F.col(text), "_qr_h2": F.xxhash64(host, text)}), "_qr_text")
+    # the document travels as one struct, so its names meet none of these
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_qr_doc"), F.col(key).alias("_qr_k"), F.xxhash64(host, text).alias("_qr_h2"), F.col(text).alias("_qr_text"))
+    rows = features(rows, "_qr_text")
     # the row number keeps the filters above it, where each count has been worked out once
     rows = rows.withColumn("_qr_row", F.monotonically_increasing_id()).withColumn("base_failed", base_failed()).filter("_qr_row >= 0 and not base_failed")
-    found = rows.join(flagged, F.col(key).eqNullSafe(F.col("_qr_key")) & (F.col("_qr_h2") == F.col("_qr_hash")), "left")
+    found = rows.join(flagged, F.col("_qr_k").eqNullSafe(F.col("_qr_key")) & (F.col("_qr_h2") == F.col("_qr_hash")), "left")
     found = found.withColumn("n_removed_words", F.coalesce("_qr_removed", F.lit(0)).cast("long")).filter(_verdict(min_words, min_share))
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_qr_ids", _line_id(_trimmed(_normal(x))))), "\n")
-    return found.select(*[F.when(F.col("_qr_ids").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns])
+    whole = F.col("_qr_doc")[text]
+    left = F.array_join(F.filter(F.split(whole, "\n"), lambda x: ~F.array_contains("_qr_ids", _line_id(_trimmed(_normal(x))))), "\n")
+    return found.select(*[(F.when(F.col("_qr_ids").isNull(), whole).otherwise(left) if c == text else F.col("_qr_doc")[c]).alias(c) for c in docs.columns])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
