@@ -55,8 +55,13 @@ def corpus(seed, n=260):
     return list(zip(ids, docs, strict=True))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_match_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "listed", "stars"), [(1, 12, 2), (2, 1, 0), (3, 2, 1)])
+def test_components_match_brute_force(spark, monkeypatch, seed, listed, stars):
+    monkeypatch.setattr(minhash, "LISTED", listed)
+    monkeypatch.setattr(minhash, "STARS", stars)
+    if not stars:
+        monkeypatch.setattr(minhash, "VISITORS", 16)
+        monkeypatch.setattr(minhash, "MEMBERS", 16)
     docs = [*corpus(seed), (20_000, None), (20_001, ""), (20_002, "A b"), (20_003, "a B")]
     got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
     want = brute(docs)

@@ -4,13 +4,14 @@ Every distinct shingle set (one *class*, however many documents have it) gets a
 symbols. Two signatures that differ in fewer than ``2 * CHUNKS`` symbols have a chunk with at most one differing symbol, so
 enumerating the allowed error of each chunk (the chunk without one of its symbols, for each of them) gives keys of which
 such a pair shares one: no pair under that distance is missed. At a similarity of 0.8 a pair without a common key has a
-chance of 4e-8. Pairs with a common key go on if sizes allow 0.8 and a second signature of 128 bits differs in at most
-``BITS_APART`` (at 0.8: mean 12.8, deviation 3.4), and are confirmed on their full sets.
+chance of 4e-8. Pairs with a common key go on if sizes allow 0.8 and a second signature of 256 bits differs in at most
+``BITS_APART`` (at 0.8: mean 25.6, deviation 4.8), and are confirmed on their full sets.
 
-Not all pairs of a bucket are needed for components. ``STARS`` rounds test each bucket's members against one of them, drawn
-anew each round, and merge what is confirmed; a large group of copies mostly falls into one component, at one test per
-member. The last round tests what is left exactly: members outside their bucket's largest component against all members
-of other components.
+Not all pairs of a bucket are needed for components. ``STARS`` rounds test each bucket's members against one of them, at first
+the one that shares most keys with others and then one drawn anew each round, and merge what is confirmed; a large group of copies mostly falls into one component, at one test per
+member. The last round tests what is left exactly. Two classes that are still alone are tested if they share a key: pair by pair
+where few do, else in tasks of bounded size that give one edge for each class that has a link. A class that shares a key with a larger component visits it: tasks of bounded size compare some visitors with some members, and give
+one link for each visitor that has any; no list of pairs is made.
 
 Defined cases: a text without words, or null, has no shingles and links with nothing; with fewer words than ``width`` its
 whole sequence is its one shingle; rows with equal id count as one document; a null id takes part and never names a
@@ -32,13 +33,18 @@ from tidewright.llm.graph import components
 from tidewright.llm.shingles import shingle_sets, signatures
 
 CHUNKS, CHUNK = 10, 4
-BITS = 128
-BITS_APART = 36
-STARS = 3
+BITS = 256
+BITS_APART = 52
+STARS = 2
+#: Members and visitors of a component that one task of the last round compares.
+MEMBERS, VISITORS = 512, 256
+#: Lone classes of one key up to which their pairs are listed; beyond, tasks of bounded size compare them.
+LISTED = 12
 #: Ids of documents whose sets are needed are broadcast up to this count, 16 bytes each.
 BROADCAST_IDS = 1_000_000
 
-_CLASS = "doc_id long, n long, cid long, symbols binary, s1 long, s2 long"
+_CLASS = "doc_id long, n long, cid long, symbols binary, s1 long, s2 long, s3 long, s4 long"
+_BITS = ["s1", "s2", "s3", "s4"]
 
 
 def _cid(part: np.ndarray) -> int:
@@ -55,7 +61,7 @@ def _classes(width: int):
             symbols = np.ascontiguousarray(all_[:, : CHUNKS * CHUNK])
             n = np.diff(at)
             cids = [_cid(sets[a:b]) if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.record_batch([block.column(0), pa.array(n), pa.array(cids, pa.int64()), pa.array([x.tobytes() for x in symbols], pa.binary()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], names=["doc_id", "n", "cid", "symbols", "s1", "s2"])
+            yield pa.record_batch([block.column(0), pa.array(n), pa.array(cids, pa.int64()), pa.array([x.tobytes() for x in symbols], pa.binary()), *(pa.array(bits[:, k].copy()) for k in range(len(_BITS)))], names=["doc_id", "n", "cid", "symbols", *_BITS])
 
     return run
 
@@ -116,23 +122,131 @@ def _confirm(percent: int):
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Sizes that allow the similarity, and near second signatures."""
     sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-    apart = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
+    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _BITS), F.lit(0))
     return sizes & (apart <= BITS_APART)
 
 
+def _visits(percent: int):
+    def run(unit: pa.Table) -> pa.Table:
+        """One link (visitor, member) for each visitor that is similar enough to a member."""
+        cid, visitor = unit["cid"].to_numpy(), unit["visitor"].to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit["shingles"]]
+        members = np.flatnonzero(~visitor)
+        out_u, out_v = [], []
+        if len(members):
+            hits = _met(sets, members, percent)
+            for i in np.flatnonzero(visitor):
+                found = hits(sets[i])
+                if len(found):
+                    out_u.append(cid[i])
+                    out_v.append(cid[found[0]])
+        return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
+
+    return run
+
+
+def _met(sets: list[np.ndarray], members: np.ndarray, percent: int):
+    """A function from a set to the places in ``members`` of the similar ones."""
+    sizes = np.array([len(sets[i]) for i in members], np.int64)
+    flat, owner = np.concatenate([sets[i] for i in members]), np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+
+    def hits(x: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+        n = hi - lo
+        places = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+        both = np.bincount(owner[places], minlength=len(members))
+        return members[100 * both >= percent * (sizes + len(x) - both)]
+
+    return hits
+
+
+def _among(percent: int):
+    def run(unit: pa.Table) -> pa.Table:
+        """An edge for each class that is similar to another in the unit, to the first one it reaches."""
+        cid, side = unit["cid"].to_numpy(), unit["side"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit["shingles"]]
+        label = np.arange(len(cid))
+        first, second = np.flatnonzero(side == unit["i"][0].as_py()), np.flatnonzero(side == unit["j"][0].as_py())
+        a, b = [], []
+        if len(first) and len(second):
+            hits = _met(sets, second, percent)
+            for i in first:
+                found = hits(sets[i])
+                a.append(np.full(len(found), i))
+                b.append(found)
+            a, b = np.concatenate(a), np.concatenate(b)
+            while True:
+                low, new = np.minimum(label[a], label[b]), label.copy()
+                np.minimum.at(new, a, low)
+                np.minimum.at(new, b, low)
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+        moved = np.flatnonzero(label != np.arange(len(cid)))
+        return pa.table({"u": pa.array(cid[moved]), "v": pa.array(cid[label[moved]])})
+
+    return run
+
+
+def _pairs_confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    pairs = written(pairs.select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct(), "pairs")
+    full = pairs.join(sets, F.col("u") == F.col("c")).select("u", "v", F.col("shingles").alias("x")).join(sets, F.col("v") == F.col("c")).select("u", "v", "x", F.col("shingles").alias("y"))
+    return full.mapInArrow(_confirm(percent), "u long, v long")
+
+
+def _last_round(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share a key: all there are between lone classes, one or none for each visitor."""
+    large = written(comp.groupBy(F.col("comp").alias("g")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "large")
+    m = members.join(large, F.col("comp") == F.col("g"), "left").withColumn("size", F.coalesce("size", F.lit(1))).drop("g")
+    m = written(m, "sized")
+    alone = m.filter("size = 1").drop("size")
+    per_key = alone.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("lone"), F.min("cid").alias("hub")).filter("lone > 1")
+    alone = written(alone.join(per_key, F.col("key") == F.col("k")).drop("k"), "alone")
+    few = alone.filter(F.col("lone") <= LISTED)
+    a, b = few.alias("a"), few.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") < F.col("b.cid")) & _may_link("a", "b", percent))
+    lone = _pairs_confirmed(pairs, sets, percent)
+    # many: all that share a key share its hub, the smallest of them, and meet there
+    meet = written(alone.filter(F.col("lone") > LISTED).select("cid", "hub").distinct(), "hubs")
+    counts = meet.groupBy(F.col("hub").alias("h")).agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("parts"))
+    dealt = meet.join(counts, F.col("hub") == F.col("h")).withColumn("side", F.pmod(F.xxhash64("cid", F.lit(23)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    groups = dealt.join(sets, F.col("cid") == F.col("c")).select("hub", "i", "j", "side", "cid", "shingles")
+    lone = lone.unionByName(groups.groupBy("hub", "i", "j").applyInArrow(_among(percent), "u long, v long"))
+    hosts = m.filter("size > 1").groupBy(F.col("key").alias("k"), F.col("comp").alias("host")).agg(F.first("size").alias("host_size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    smaller = (F.col("size") < F.col("host_size")) | ((F.col("size") == F.col("host_size")) & (F.col("comp") < F.col("host")))
+    fits = (100 * F.col("n") >= percent * F.col("n_min")) & (100 * F.col("n_max") >= percent * F.col("n"))
+    visits = m.join(hosts, (F.col("key") == F.col("k")) & smaller & fits).select("cid", "host", "host_size").distinct()
+    visits = written(visits, "visits")
+    parts = visits.groupBy(F.col("host").alias("h")).agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("v_parts"), F.ceil(F.first("host_size") / MEMBERS).cast("int").alias("m_parts"))
+    parts = written(parts, "parts")
+    part = lambda n: F.pmod(F.xxhash64("cid", F.lit(17)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = visits.join(parts, F.col("host") == F.col("h")).select("host", part("v_parts").alias("vp"), every("m_parts").alias("mp"), "cid", F.lit(True).alias("visitor"))
+    right = comp.select(F.col("node").alias("cid"), F.col("comp").alias("host")).join(parts, F.col("host") == F.col("h")).select("host", every("v_parts").alias("vp"), part("m_parts").alias("mp"), "cid", F.lit(False).alias("visitor"))
+    units = left.unionByName(right).join(sets, F.col("cid") == F.col("c")).select("host", "vp", "mp", "cid", "visitor", "shingles")
+    found = units.groupBy("host", "vp", "mp").applyInArrow(_visits(percent), "u long, v long")
+    return lone.unionByName(found)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     each = written(rows.mapInArrow(_classes(width), _CLASS), "signatures")
-    classes = each.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("symbols").alias("symbols"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    classes = each.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("symbols").alias("symbols"), *[F.first(x).alias(x) for x in _BITS])
     classes = written(classes, "classes")
     keys = written(classes.select("cid", "symbols").mapInArrow(_keys, "key long, cid long"), "keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("k"))
-    members = keys.join(shared, F.col("key") == F.col("k")).select("key", "cid")
-    info = classes.select(F.col("cid").alias("c"), "n", "s1", "s2")
-    members = written(members.join(info, F.col("cid") == F.col("c")).drop("c"), "buckets")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("k"), "c")
+    members = written(keys.join(shared, F.col("key") == F.col("k")).select("key", "cid", "c"), "shared")
+    # how many others a class meets over all its keys: the middle of a group of copies meets most
+    meets = members.groupBy(F.col("cid").alias("m")).agg(F.sum("c").alias("meets"))
+    info = classes.select(F.col("cid").alias("c"), "n", *_BITS).join(meets, F.col("c") == F.col("m")).drop("m")
+    members = written(members.drop("c").join(info, F.col("cid") == F.col("c")).drop("c"), "buckets")
 
     # full sets, of one document for each class that shares a bucket
     need = classes.join(members.select(F.col("cid").alias("c")).distinct(), F.col("cid") == F.col("c"), "left_semi").select(F.col("rep").alias("r")).distinct()
@@ -146,19 +260,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     links = written(links.distinct(), "confirmed")
     comp = written(components(links), "components")
     for k in range(STARS + 1):
-        with_comp = members.join(comp, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", "s1", "s2", F.coalesce("comp", "cid").alias("comp"))
-        with_comp = written(with_comp, "members")
-        mixed_keys = with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n", "s1", "s2", "comp")).alias("head")).filter("x <> y")
-        a = with_comp.alias("a")
+        with_comp = members.join(comp, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", *_BITS, "meets", F.coalesce("comp", "cid").alias("comp"))
         if k < STARS:
-            b = mixed_keys.select(F.col("key").alias("k"), "head.cid", "head.n", "head.s1", "head.s2", "head.comp").alias("b")
+            with_comp = written(with_comp, "members")
+            heads = with_comp.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct((F.xxhash64("cid", F.lit(k)) if k else -F.col("meets")).alias("h"), "cid", "n", *_BITS, "comp")).alias("head")).filter("x <> y")
+            a, b = with_comp.alias("a"), heads.select("k", "head.cid", "head.n", *[f"head.{x}" for x in _BITS], "head.comp").alias("b")
+            pairs = a.join(b, (F.col("a.key") == F.col("b.k")) & (F.col("a.comp") != F.col("b.comp")) & _may_link("a", "b", percent))
+            found = written(_pairs_confirmed(pairs, sets, percent), "confirmed")
         else:
-            per = with_comp.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("k", F.col("top.comp").alias("main"))
-            b = with_comp.join(per, F.col("key") == F.col("k")).filter("comp <> main").select("k", "cid", "n", "s1", "s2", "comp").alias("b")
-        pairs = a.join(b, (F.col("a.key") == F.col("b.k")) & (F.col("a.comp") != F.col("b.comp")) & _may_link("a", "b", percent))
-        pairs = written(pairs.select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct(), "pairs")
-        full = pairs.join(sets, F.col("u") == F.col("c")).select("u", "v", F.col("shingles").alias("x")).join(sets, F.col("v") == F.col("c")).select("u", "v", "x", F.col("shingles").alias("y"))
-        found = written(full.mapInArrow(_confirm(percent), "u long, v long"), "confirmed")
+            found = written(_last_round(with_comp, comp, sets, percent), "confirmed")
         if found.isEmpty():
             continue
         # what was merged before, and the new links between its components
