@@ -90,6 +90,24 @@ def test_clean_removes_lines_and_documents(spark):
             assert text == texts[k]
 
 
+def test_clean_takes_template_lines_from_distinct_pages(spark):
+    rng = random.Random(7)
+    line = lambda: " ".join(f"v{rng.randrange(10_000)}" for _ in range(8))
+    rows, template, page = [], {}, "\n".join(line() for _ in range(4))
+    for host, n in (("a", 5), ("b", 10)):
+        template[host] = [line() for _ in range(n)]
+        rows += [(len(rows) + k, "\n".join([*template[host], *(line() for _ in range(5))]), host) for k in range(60)]
+    # two texts, copied very often, are no boilerplate; nor is a line that just max_docs pages hold
+    rows += [(1000 + k, page, "a") for k in range(400)] + [(2000 + k, page + "\n" + line() * (k == 0), "a") for k in range(200)]
+    few = line()
+    rows += [(3000 + k, "\n".join([few, line(), line()]), "b") for k in range(20)]
+    got = {r.doc_id: r.text for r in q.clean(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()}
+    assert set(got) == {k for k, _, _ in rows}
+    for k, text, host in rows:
+        want = "\n".join(x for x in text.split("\n") if x not in template[host])
+        assert got[k] == want
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     got = q.judge(docs).collect()
