@@ -95,6 +95,21 @@ def test_odd_rows(spark):
     assert minhash.near_duplicates(no_documents(spark)).count() == 0
 
 
+def test_rows_without_id_go_only_for_their_own_text(spark):
+    rng = random.Random(11)
+    new = lambda: " ".join(f"w{rng.randrange(100_000)}" for _ in range(60))
+    a, b, c, d, e, f = (new() for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (7, c), (7, d), (8, d + " more"), (9, e), (9, f), (9, f), (None, f"{a} more"), (None, None), (None, ""), (None, None), (5, ""), (5, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, cid int").repartition(3)
+    left = minhash.deduplicated(df)
+    assert left.columns == df.columns
+    got = sorted((r.cid for r in left.collect()))
+    # a null-id text and a near copy of it: one of the two stays; of the equal rows 7 and 8, 13 and 14, one each
+    texts = sorted((str(rows[k][0]), str(rows[k][1])) for k in got)
+    first = a if 0 in got else f"{a} more"
+    assert texts == sorted((str(i), str(t)) for i, t in [(None, first), (None, b), (7, c), (7, d), (9, e), (9, f), (None, None), (None, None), (None, ""), (5, "")])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (300, 100), (7, 7), (500, 500)]
     got = dict(components(spark.createDataFrame(links, "u long, v long")).collect())

@@ -15,7 +15,9 @@ one link for each visitor that has any; no list of pairs is made.
 
 Defined cases: a text without words, or null, has no shingles and links with nothing; with fewer words than ``width`` its
 whole sequence is its one shingle; rows with equal id count as one document; a null id takes part and never names a
-component unless all ids in it are null; extra columns pass through ``deduplicated`` untouched.
+component unless all ids in it are null. ``deduplicated`` judges each row by its own text, whatever other rows its id has:
+a component keeps one row, of the smallest id (a null one only if there is no other); rows without shingles all stay, but
+those of one id and text only once; extra columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ LISTED = 12
 #: Ids of documents whose sets are needed are broadcast up to this count, 16 bytes each.
 BROADCAST_IDS = 1_000_000
 
-_CLASS = "doc_id long, n long, cid long, symbols binary, s1 long, s2 long, s3 long, s4 long"
+_CLASS = "doc_id long, h long, n long, cid long, symbols binary, s1 long, s2 long, s3 long, s4 long"
 _BITS = ["s1", "s2", "s3", "s4"]
 
 
@@ -61,7 +63,7 @@ def _classes(width: int):
             symbols = np.ascontiguousarray(all_[:, : CHUNKS * CHUNK])
             n = np.diff(at)
             cids = [_cid(sets[a:b]) if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.record_batch([block.column(0), pa.array(n), pa.array(cids, pa.int64()), pa.array([x.tobytes() for x in symbols], pa.binary()), *(pa.array(bits[:, k].copy()) for k in range(len(_BITS)))], names=["doc_id", "n", "cid", "symbols", *_BITS])
+            yield pa.record_batch([block.column(0), block.column(2), pa.array(n), pa.array(cids, pa.int64()), pa.array([x.tobytes() for x in symbols], pa.binary()), *(pa.array(bits[:, k].copy()) for k in range(len(_BITS)))], names=["doc_id", "h", "n", "cid", "symbols", *_BITS])
 
     return run
 
@@ -232,11 +234,11 @@ def _last_round(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: i
     return lone.unionByName(found)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def _grouped(docs: DataFrame, key: str, text: str, width: int, percent: int, by_id: bool) -> DataFrame:
+    """One row per document: doc_id, the text's hash h, n and comp, null without shingles; ``by_id`` links the texts of one id."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), _text_hash(text).alias("h"))
     each = written(rows.mapInArrow(_classes(width), _CLASS), "signatures")
     classes = each.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("symbols").alias("symbols"), *[F.first(x).alias(x) for x in _BITS])
     classes = written(classes, "classes")
@@ -257,6 +259,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     # classes of documents with one id count as one from the start
     links = each.filter("cid is not null and doc_id is not null").join(each.groupBy(F.col("doc_id").alias("d")).agg(F.min("cid").alias("v"), F.max("cid").alias("w")).filter("v <> w"), F.col("doc_id") == F.col("d")).select(F.col("cid").alias("u"), "v")
+    if not by_id:
+        links = spark.createDataFrame([], "u long, v long")
     links = written(links.distinct(), "confirmed")
     comp = written(components(links), "components")
     for k in range(STARS + 1):
@@ -275,19 +279,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         old = comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))
         comp = written(components(old.unionByName(found)), "components")
 
-    of = each.join(comp, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cid"))
+    return each.join(comp, F.col("cid") == F.col("node"), "left").select("doc_id", "h", "n", F.coalesce("comp", "cid").alias("comp"))
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    of = _grouped(docs, key, text, width, percent, by_id=True)
     least = of.filter("comp is not null").groupBy(F.col("comp").alias("m")).agg(F.min("doc_id").alias("least"))
     out = of.join(least, F.col("comp") == F.col("m"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
-    """The documents that stay, with all their columns: the one with the smallest id of each component."""
-    verdict = written(near_duplicates(docs, key, text, width, percent), "verdicts")
-    gone = verdict.filter("not kept").select(F.col("doc_id").alias("_mh_gone")).distinct()
-    left = docs.join(gone, F.col(key).eqNullSafe(F.col("_mh_gone")), "left_anti")
-    repeated = verdict.filter("kept").groupBy("doc_id").count().filter("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates([key])
+    """The documents that stay, with all their columns: of each component of texts one row, of the smallest id."""
+    rows = written(_grouped(docs, key, text, width, percent, by_id=False).groupBy("doc_id", "h", "comp").agg(F.count(F.lit(1)).alias("copies")), "verdicts")
+    best = rows.filter("comp is not null").groupBy(F.col("comp").alias("m")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
+    judged = rows.join(best, F.col("comp") == F.col("m"), "left")
+    stays = F.col("comp").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h")))
+    judged = written(judged.select(F.col("doc_id").alias("_mh_id"), F.col("h").alias("_mh_h"), stays.alias("stays"), ((F.col("copies") > 1) & (F.col("comp").isNotNull() | F.col("doc_id").isNotNull())).alias("again")), "judged")
+    same = F.col(key).cast("long").eqNullSafe(F.col("_mh_id")) & (_text_hash(text) == F.col("_mh_h"))
+    left = docs.join(judged.filter("not stays").select("_mh_id", "_mh_h"), same, "left_anti")
+    again = judged.filter("stays and again").select("_mh_id", "_mh_h")
+    if again.isEmpty():
+        return left
+    # only rows that are repeated as a whole are dealt out to find one of each
+    once = left.join(again, same, "left_semi").dropDuplicates([key, text])
+    return left.join(again, same, "left_anti").unionByName(once)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
