@@ -51,6 +51,19 @@ def test_score_matches_plain_convolution():
         assert abs(s - 1 / (1 + np.exp(-z))) < 1e-4
 
 
+def test_training_sees_all_of_a_long_text(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in (90_000, 20_000, 257, 3)] + ["", "é" * 9000]
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    seen = {}
+    monkeypatch.setattr(q.Model, "fit", lambda self, chunks, y, w: seen.update(chunks=[np.array(chunks[i]) for i in range(len(chunks))], y=y) or self)
+    q.train(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), spark.createDataFrame([(i, i % 2, 0) for i in ids], LABELS))
+    assert seen["y"].tolist() == [i % 2 for i in ids]
+    for text, x in zip(texts, seen["chunks"], strict=True):
+        whole = b"".join(row[: q.STRIDE].tobytes() for row in x[:-1]) + x[-1].tobytes()
+        assert whole == text.encode().ljust(len(whole), b"\0") and len(whole) >= len(text.encode())
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     none = spark.createDataFrame([], LABELS)

@@ -5,7 +5,7 @@ every chunk; a filter is one table of byte values per place. Activations are max
 the chunks of the text, and combined into one probability, so the score sees the whole text, whatever its length.
 
 Training is on the driver, on a bounded sample: at most ``PER_CLASS`` labelled rows of each class, drawn by hash, and of
-each at most ``TRAIN_CHUNKS`` chunks spread evenly over the whole text (together at most 33 MB). Rows are weighted by
+each all chunks. The texts lie in a file of the driver's temporary folder, and one minibatch of 64 is read at a time. Rows are weighted by
 their class's share among all labelled rows, so scores stay probabilities. Scoring needs no shuffle.
 
 Defined cases: a null or empty text is one chunk of padding; a label that is null, or of an unknown or null id, is ignored;
@@ -15,23 +15,24 @@ labels 0.5; a null id is never held out; an empty table gives no rows; other col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import blocks, raw, small_batches, table
+from tidewright.llm.common import blocks, raw, small_batches, table, written
 
 FILTERS, WIDTH = 12, 6
 CHUNK, STRIDE = 256, 224
 PER_CLASS = 2000
-TRAIN_CHUNKS = 32
 EPOCHS = 12
 THRESHOLD = 0.3
-#: Positions convolved at once.
+#: Positions convolved at once; chunks convolved at once when training.
 _SPAN = 1 << 17
+_CHUNKS = 512
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +51,29 @@ def padded(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+class Texts:
+    """Texts in a temporary file. An item is a matrix of all chunks of one text, with ``WIDTH`` bytes of what follows behind each."""
+
+    def __init__(self, texts: Iterable[bytes]):
+        self.file, sizes = tempfile.TemporaryFile(), []  # noqa: SIM115
+        for text in texts:
+            self.file.write(text)
+            sizes.append(len(text))
+        self.file.flush()
+        self.sizes = np.array(sizes, np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.counts = windows(self.sizes)[0]
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        out = np.zeros((int(self.counts[i]) - 1) * STRIDE + CHUNK + WIDTH, np.uint8)
+        self.file.seek(int(self.ends[i]))
+        out[: self.sizes[i]] = np.frombuffer(self.file.read(int(self.sizes[i])), np.uint8)
+        return np.lib.stride_tricks.sliding_window_view(out, CHUNK + WIDTH)[::STRIDE]
+
+
 class Model:
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -92,7 +116,7 @@ class Model:
         mean = np.add.reduceat(pooled.astype(np.float64), first, axis=0) / n[:, None]
         return 1 / (1 + np.exp(-(mean @ self.out.astype(np.float64) + float(self.shift))))
 
-    def fit(self, chunks: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> Model:
+    def fit(self, chunks: Texts, labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> Model:
         """Adam on the weighted log loss; ``chunks``: per row, a matrix of its chunks' bytes with ``WIDTH`` zeros behind."""
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels[0]) if len(labels) else 0.5
@@ -108,12 +132,15 @@ class Model:
             for k in range(0, len(order), 64):
                 rows = order[k : k + 64]
                 x = np.concatenate([chunks[i] for i in rows])
-                n = np.array([len(chunks[i]) for i in rows])
-                act = np.take(filters[0], x[:, :CHUNK], axis=0)
-                for j in range(1, WIDTH):
-                    act += np.take(filters[j], x[:, j : j + CHUNK], axis=0)
-                best = act.argmax(axis=1)
-                top = np.take_along_axis(act, best[:, None, :], axis=1)[:, 0, :] + bias
+                n = chunks.counts[rows]
+                best, top = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), np.float32)
+                for a in range(0, len(x), _CHUNKS):
+                    part = x[a : a + _CHUNKS]
+                    act = np.take(filters[0], part[:, :CHUNK], axis=0)
+                    for j in range(1, WIDTH):
+                        act += np.take(filters[j], part[:, j : j + CHUNK], axis=0)
+                    best[a : a + _CHUNKS] = act.argmax(axis=1)
+                    top[a : a + _CHUNKS] = np.take_along_axis(act, best[a : a + _CHUNKS, None, :], axis=1)[:, 0, :] + bias
                 on = np.maximum(top, 0)
                 first = np.cumsum(n) - n
                 mean = np.add.reduceat(on, first, axis=0) / n[:, None]
@@ -136,24 +163,6 @@ class Model:
         return self
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of each text, at most TRAIN_CHUNKS and spread evenly over all of it."""
-    for block in blocks(batches):
-        body, ends = raw(block.column(1))
-        data, at = padded(body, ends)
-        out = []
-        for p, size in zip(at.tolist(), np.diff(ends).tolist(), strict=True):
-            _, begin = windows(np.array([size]))
-            if len(begin) > TRAIN_CHUNKS:
-                begin = begin[np.linspace(0, len(begin) - 1, TRAIN_CHUNKS).round().astype(int)]
-            x = np.zeros((len(begin), CHUNK + WIDTH), np.uint8)
-            for i, b in enumerate(begin.tolist()):
-                x[i, : min(CHUNK, max(size - b, 0)) + WIDTH] = data[p + b : p + b + min(CHUNK, max(size - b, 0)) + WIDTH]
-                x[i, min(CHUNK, max(size - b, 0)) :] *= size - b > CHUNK  # only a following part of the text stays visible
-            out.append(x.tobytes())
-        yield pa.record_batch([block.column(0), pa.array(out, pa.binary()), block.column(2)], names=["doc_id", "chunks", "label"])
-
-
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -170,9 +179,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         picked += [(r["d"], y) for r in known.filter((F.col("y") > 0).cast("int") == y).orderBy(F.xxhash64("d"), "d").limit(per_class).collect()]
     sample = docs.sparkSession.createDataFrame(picked, "d long, y int") if picked else known.limit(0)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("d")).select("doc_id", "text", "y")
-    got = sorted((r["doc_id"], bytes(r["chunks"]), r["label"]) for r in rows.mapInArrow(_sampled, "doc_id long, chunks binary, label int").collect())
-    chunks = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK + WIDTH) for _, c, _ in got]
-    y = np.array([k for _, _, k in got], np.float32)
+    rows = written(rows, "sample").orderBy("doc_id", "text")
+    y = []
+
+    def texts() -> Iterator[bytes]:
+        # one partition at a time, so that the driver never holds all texts
+        for r in rows.toLocalIterator():
+            y.append(r["y"])
+            yield (r["text"] or "").encode()
+
+    chunks = Texts(texts())
+    y = np.array(y, np.float32)
     share = {k: counts[k] / max(1, (y == k).sum()) for k in counts}
     return Model().fit(chunks, y, np.array([share[int(k)] for k in y], np.float32))
 
