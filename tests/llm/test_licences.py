@@ -59,6 +59,19 @@ def test_labels_and_spans():
     assert got[4][6] == 0.0 and 0.9 < got[5][6] <= 1.0
 
 
+def test_runs_that_a_template_has_twice():
+    apache = q.TEMPLATES[1][1]
+    # a run that stands twice in the template, and one that stands elsewhere in it, between parts in order
+    altered = "under the apache license version q the license you may not use q in compliance with q the license you may q obtain a copy of"
+    stray = "licensed under the apache license version 2 0 the license you may not use this q a copy of q file except in compliance with the license you may obtain a copy"
+    twice = f"{apache} x y z {apache} {apache}"
+    got = q.Scanner(templates=[("apache-2.0", apache)], phrases={}).scan(pa.array([altered, stray, twice]))
+    assert [g[5] for g in got] == ["apache-2.0"] * 3
+    assert [(x["first"], x["last"]) for g in got[:2] for x in g[7]] == [(0, len(altered.split()) - 1), (0, len(stray.split()) - 1)]
+    n = len(apache.split())
+    assert [(x["first"], x["last"], x["covered"]) for x in got[2][7]] == [(k, k + n - 1, 1.0) for k in (0, n + 3, 2 * n + 3)]
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     got = q.scan(docs).collect()

@@ -2,7 +2,8 @@
 
 The automaton holds every run of words of every template. A text streams through it and gives, at each word, the longest
 run that ends there and is part of a template (its matching statistics). Runs of ``MIN_MATCH`` words or more that cannot
-grow are chained per template, in order and with gaps of at most ``GAP`` words; a chain that covers ``COVER`` of its
+grow are chained per template, in order and with gaps of at most ``GAP`` words; a run may stand for any place that has it
+in the template, and the chain that covers most is taken, stray runs left out. A chain that covers ``COVER`` of its
 template is a span, and gives its label. Words are numbered per block, and only stretches in which each two neighbouring
 words are neighbours in some template can hold a match of three words, so only those are walked word by word.
 
@@ -13,6 +14,7 @@ scanned like any other; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,26 +55,30 @@ TEMPLATES = [
 
 class Automaton:
     """Suffix automaton of several word sequences. ``ends[state]``: for each template that holds the state's runs, the
-    place of a last word of theirs in it."""
+    place of a last word of theirs in it; ``places[state]``: all such places."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.ends = [-1], [0], [{}]
+        self.places: list[dict[int, set[int]]] = [{}]
         for which, sequence in enumerate(sequences):
             last = 0
             for place, token in enumerate(sequence):
                 last = self._add(last, token)
                 self.ends[last].setdefault(which, place)
+                self.places[last].setdefault(which, set()).add(place)
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
             for which, place in self.ends[state].items():
                 if self.link[state] > 0:
                     self.ends[self.link[state]].setdefault(which, place)
+                    self.places[self.link[state]].setdefault(which, set()).update(self.places[state][which])
 
     def _new(self, length: int, copy: int | None = None) -> int:
         self.next.append({} if copy is None else dict(self.next[copy]))
         self.link.append(-1 if copy is None else self.link[copy])
         self.length.append(length)
         self.ends.append({})
+        self.places.append({})
         return len(self.link) - 1
 
     def _split(self, p: int, token: int) -> int:
@@ -162,27 +168,50 @@ class Scanner:
         for a, b, text in zip(begins.tolist(), (stops + 1).tolist(), (np.searchsorted(at, begins, "right") - 1).tolist(), strict=True):
             for start, length, state in self.automaton.matches(t[a:b].tolist()):
                 if length >= MIN_MATCH:
-                    for which, end in self.automaton.ends[state].items():
-                        found.setdefault(text, {}).setdefault(which, []).append((a + start, length, end - length + 1))
+                    for which, ends in self.automaton.places[state].items():
+                        found.setdefault(text, {}).setdefault(which, []).extend((a + start, length, end - length + 1) for end in ends)
         return {text: spans for text, by in found.items() if (spans := self._chained(by, int(at[text])))}
 
     def _chained(self, by: dict[int, list], base: int) -> list[tuple[str, int, int, float]]:
         out = []
         for which, runs in by.items():
-            chain: list | None = None
-            for start, length, place in [*sorted(runs), (1 << 60, 0, 0)]:
-                if chain is not None:
-                    skip, ahead = start - chain[1], place - chain[2]
-                    cut = max(0, -skip, -ahead)
-                    if length > cut and start - chain[1] <= GAP and ahead <= GAP and place + length > chain[2]:
-                        chain[1], chain[2], chain[3] = start + length, place + length, chain[3] + length - cut
-                        continue
-                    share = min(1.0, chain[3] / self.sizes[which])
-                    if share >= COVER:
-                        out.append((self.labels[which], chain[0] - base, chain[1] - 1 - base, share))
-                chain = [start, start + length, place + length, length]
+            least = COVER * self.sizes[which]
+            runs = sorted(runs)
+            while runs:
+                spans = self._best(runs, least)
+                out += [(self.labels[which], a - base, b - 1 - base, min(1.0, n / self.sizes[which])) for a, b, n in spans]
+                if not spans:
+                    break
+                # what is left between the spans may chain anew
+                begins = [a for a, _, _ in spans]
+                before = [bisect_right(begins, start) - 1 for start, _, _ in runs]
+                runs = [r for r, k in zip(runs, before, strict=True) if (k < 0 or spans[k][1] <= r[0]) and (k + 1 == len(spans) or r[0] + r[1] <= begins[k + 1])]
         return sorted(set(out), key=lambda x: x[1:])
 
+    @staticmethod
+    def _best(runs: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
+        """(begin, end, covered words) of chains of ``least`` words or more that share no words, those that cover most first
+        to choose. Runs come sorted; those that end too early for one are too early for all that follow."""
+        covered, begin, low = [], [], 0
+        for j, (start, length, place) in enumerate(runs):
+            while runs[low][0] + runs[low][1] < start - GAP:
+                low += 1
+            most = (length, start)
+            for i in range(low, j):
+                end, at = runs[i][0] + runs[i][1], runs[i][2] + runs[i][1]
+                cut = max(0, end - start, at - place)
+                if cut < length and start - end <= GAP and place - at <= GAP:
+                    most = max(most, (covered[i] + length - cut, begin[i]))
+            covered.append(most[0])
+            begin.append(most[1])
+        spans: list[tuple[int, int, int]] = []
+        for j in sorted((j for j in range(len(runs)) if covered[j] >= least), key=lambda j: (-covered[j], runs[j][0] + runs[j][1])):
+            span = (begin[j], runs[j][0] + runs[j][1], covered[j])
+            k = bisect_right(spans, span)
+            if (not k or spans[k - 1][1] <= span[0]) and (k == len(spans) or span[1] <= spans[k][0]):
+                spans.insert(k, span)
+        return spans
+
     def scan(self, texts: pa.Array) -> list[tuple]:
         body, ends = raw(texts)
         found, at = words(lowered(body), ends, ALNUM)
