@@ -1,6 +1,6 @@
 import random
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 from tests.llm.helpers import ODD_TEXTS, no_documents, odd_documents
 from tidewright.llm import quality_rules as q
@@ -25,22 +25,17 @@ def normal(line):
 
 
 def judged(rows, max_docs):
-    """The whole method in plain Python; a line's id stands for its hash, order by the hash itself."""
-    import hashlib
-
-    h = lambda s: hashlib.md5(s.encode()).hexdigest()[:16]
-    held = defaultdict(Counter)
+    """The whole method in plain Python."""
+    held = defaultdict(set)
     docs = []
     for key, text, host in rows:
-        lines = [h(x) for x in map(normal, (text or "").split("\n")) if x]
-        docs.append((key, text, host, Counter(lines)))
-        for x in set(lines):
-            others = sorted(set(lines) - {x})
-            held[host, x][others[0] if others else ""] += 1
-    frequent = {k for k, c in held.items() if sum(c.values()) - max(c.values()) + 1 > max_docs and 2 * max(c.values()) <= sum(c.values())}
+        docs.append((key, text, host, frozenset(x for x in map(normal, (text or "").split("\n")) if x)))
+        for x in docs[-1][3]:
+            held[host, x].add(docs[-1][3])
+    frequent = {k for k, c in held.items() if len(c) > max_docs}
     out = []
     for key, text, host, _ in docs:
-        gone = sum(len(normal(x).split(" ")) for x in (text or "").split("\n") if normal(x) and (host, h(normal(x))) in frequent)
+        gone = sum(len(normal(x).split(" ")) for x in (text or "").split("\n") if normal(x) and (host, normal(x)) in frequent)
         b = base(text)
         out.append((key, *b, not b[5] and b[0] - gone >= 10 and b[0] - gone >= 0.1 * b[0], gone))
     return out
@@ -101,8 +96,10 @@ def test_clean_takes_template_lines_from_distinct_pages(spark):
     rows += [(1000 + k, page, "a") for k in range(400)] + [(2000 + k, page + "\n" + line() * (k == 0), "a") for k in range(200)]
     few = line()
     rows += [(3000 + k, "\n".join([few, line(), line()]), "b") for k in range(20)]
-    got = {r.doc_id: r.text for r in q.clean(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: r.text for r in q.clean(df).collect()}
     assert set(got) == {k for k, _, _ in rows}
+    assert [(r.doc_id, r.n_removed_words) for r in q.judge(df).orderBy("doc_id").collect()] == [(k, sum(8 * (x in template[h]) for x in t.split("\n"))) for k, t, h in rows]
     for k, text, host in rows:
         want = "\n".join(x for x in text.split("\n") if x not in template[host])
         assert got[k] == want

@@ -1,18 +1,14 @@
 """Rule-based quality by cross-document line frequency, in DataFrame functions alone.
 
 Each text is split at newlines; a line is normalised (lower-cased, runs of blanks made one space, trimmed) and
-hashed. Per host, the documents that hold a line are counted distinct. Copies must not turn a text into boilerplate,
-so a document is told apart by its *sketch*, the smallest hash among its other lines: a line counts one document per
-row, the largest group of one sketch counts as copies of one document, and if such a group is over half of a line's
-documents, the line is no boilerplate. Where pages share several template lines, their sketches meet and the last rule
-lets such lines off; ``judge`` keeps to it, as ``OP10_SQL`` does. ``clean`` also tells documents apart by a digest of all
-their distinct lines, and takes a line that over ``max_docs`` of these hold, whatever the sketches. Lines above
-``max_docs`` are removed; a document of which fewer than
-``min_words`` words or less than ``min_share`` of the words stay is depleted and rejected.
+hashed. Per host, the distinct documents that hold a line are counted. Copies must not turn a text into boilerplate, so
+documents are told apart by a digest of all their distinct lines: however many rows have the same lines, they count once.
+Lines that over ``max_docs`` such documents hold are removed; a document of which fewer than ``min_words`` words or less
+than ``min_share`` of the words stay is depleted and rejected.
 
 Defined cases: a null or empty text has no words, lines or symbols and fails the base rules; a null host is a host of
-its own; repeated rows are each judged and get equal verdicts; a document whose only line is shared counts as a copy;
-extra columns pass through ``clean`` untouched, whatever their names.
+its own; repeated rows are each judged and get equal verdicts, and count as one document, as do documents with the same set of
+lines; extra columns pass through ``clean`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -75,45 +71,34 @@ def _line_id(line: Column) -> Column:
     return F.substring(F.md5(line.cast("binary")), 1, 16)
 
 
-def lines(docs: DataFrame, key: str, host: str, text: str, whole: bool = False) -> DataFrame:
-    """One row per line with a word: its document, host, hash, words, the sketch of the other lines, and whether it is the
-    line's first place in the document; ``whole`` adds the digest of all distinct lines. Sorting each document's hashes
-    finds the sketch and the first places."""
+def lines(docs: DataFrame, key: str, host: str, text: str) -> DataFrame:
+    """One row per line with a word: its document, host, hash, words, whether it is the line's first place in the document, and
+    the digest of the document's distinct lines. Sorting each document's hashes finds the first places."""
     normal = F.filter(F.transform(F.split(_normal(F.coalesce(F.col(text), F.lit(""))), "\n"), _trimmed), lambda x: x != "")
     hashed = F.sort_array(F.transform(normal, lambda x: F.struct(_line_id(x).alias("id"), F.size(F.split(x, " ")).cast("long").alias("n"))))
     # bound to one variable each, so that neither is worked out again for every element
     first = F.transform(F.array(hashed), lambda s: F.transform(s, lambda x, i: F.struct(x["id"].alias("id"), x["n"].alias("n"), (~F.get(s, i - 1)["id"].eqNullSafe(x["id"])).alias("first"))))[0]
-    distinct = lambda s: F.transform(F.filter(s, lambda x: x["first"]), lambda x: x["id"])
-    digest = lambda s: [F.xxhash64(distinct(s)).alias("digest")] if whole else []
-    both = F.transform(F.array(first), lambda s: F.struct(s.alias("lines"), F.slice(distinct(s), 1, 2).alias("least"), *digest(s)))[0]
+    digest = lambda s: F.xxhash64(F.transform(F.filter(s, lambda x: x["first"]), lambda x: x["id"]))
+    both = F.transform(F.array(first), lambda s: F.struct(s.alias("lines"), digest(s).alias("digest")))[0]
     rows = docs.select(F.col(key).alias("_qr_key"), F.xxhash64(host, text).alias("_qr_hash"), F.col(host).alias("_qr_host"), both.alias("_qr_s"))
-    more = ["_qr_digest"] if whole else []
-    rows = rows.select("_qr_key", "_qr_hash", "_qr_host", F.col("_qr_s.least").alias("_qr_min"), *[F.col("_qr_s.digest").alias(c) for c in more], F.col("_qr_s.lines").alias("_qr_l"))
+    rows = rows.select("_qr_key", "_qr_hash", "_qr_host", F.col("_qr_s.digest").alias("_qr_digest"), F.col("_qr_s.lines").alias("_qr_l"))
     # the outer form, as the plain one adds a filter that works the array out again
-    one = rows.select("_qr_key", "_qr_hash", "_qr_host", "_qr_min", *more, F.inline_outer("_qr_l")).filter("id is not null")
-    sketch = F.when(F.col("id") == F.col("_qr_min")[0], F.get("_qr_min", F.lit(1))).otherwise(F.col("_qr_min")[0])
-    return one.select("_qr_key", "_qr_hash", "_qr_host", F.col("id").alias("_qr_id"), F.col("n").alias("_qr_n"), F.col("first").alias("_qr_first"), F.coalesce(sketch, F.lit("")).alias("_qr_sketch"), *more)
+    one = rows.select("_qr_key", "_qr_hash", "_qr_host", "_qr_digest", F.inline_outer("_qr_l")).filter("id is not null")
+    return one.select("_qr_key", "_qr_hash", "_qr_host", "_qr_digest", F.col("id").alias("_qr_id"), F.col("n").alias("_qr_n"), F.col("first").alias("_qr_first"))
 
 
 def frequent_lines(rows: DataFrame, max_docs: int = 20) -> DataFrame:
     """(host, id) of the lines that over ``max_docs`` distinct documents of the host hold."""
-    first, by = rows.filter("_qr_first"), ["_qr_host", "_qr_id", "_qr_sketch"]
-    if "_qr_digest" in rows.columns:
-        per_digest = first.groupBy(*by, "_qr_digest").agg(F.count(F.lit(1)).alias("k"))
-        per_sketch = per_digest.groupBy(*by).agg(F.sum("k").alias("c"), F.count(F.lit(1)).alias("d"))
-    else:
-        per_sketch = first.groupBy(*by).agg(F.count(F.lit(1)).alias("c"), F.lit(0).alias("d"))
-    counts = per_sketch.groupBy("_qr_host", "_qr_id").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.sum("d").alias("digests"))
-    by_sketch = (F.col("n") - F.col("top") + 1 > max_docs) & (2 * F.col("top") <= F.col("n"))
-    return counts.filter(by_sketch | (F.col("digests") > max_docs)).select("_qr_host", "_qr_id")
-
-
-def _flagged(docs: DataFrame, key: str, host: str, text: str, max_docs: int, whole: bool = False) -> DataFrame:
+    documents = rows.filter("_qr_first").select("_qr_host", "_qr_id", "_qr_digest").distinct()
+    return documents.groupBy("_qr_host", "_qr_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs).select("_qr_host", "_qr_id")
+
+
+def _flagged(docs: DataFrame, key: str, host: str, text: str, max_docs: int) -> DataFrame:
     """Per document that holds frequent lines: their hashes and the number of their words.
 
     A document is known by its key and a hash of its host and text, so repeated keys are told apart. The lines are
     written once, about 40 bytes each, and read for the counts and for the join."""
-    rows = written(lines(docs, key, host, text, whole), "lines")
+    rows = written(lines(docs, key, host, text), "lines")
     common = written(frequent_lines(rows, max_docs), "frequent-lines").alias("f")
     if common.count() <= BROADCAST_LINES:
         common = F.broadcast(common)
@@ -142,7 +127,7 @@ def clean(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
     """The kept documents with all their columns, frequent lines taken out of the text.
 
     A text without frequent lines stays as it is to the byte."""
-    flagged = _flagged(docs, key, host, text, max_docs, whole=True)
+    flagged = _flagged(docs, key, host, text, max_docs)
     # the document travels as one struct, so its names meet none of these
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_qr_doc"), F.col(key).alias("_qr_k"), F.xxhash64(host, text).alias("_qr_h2"), F.col(text).alias("_qr_text"))
     rows = features(rows, "_qr_text")
@@ -172,10 +157,8 @@ ln AS (SELECT doc_id, source, s, substr(md5(s), 1, 16) AS id, len(string_split(s
          SELECT doc_id, source, trim(regexp_replace(lower(x), '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS s
          FROM (SELECT doc_id, source, unnest(ls) AS x FROM w)) WHERE s <> ''),
 per AS (SELECT doc_id, source, id, sum(n) AS n FROM ln GROUP BY ALL),
-sk AS (SELECT *, coalesce(min(id) OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-                          min(id) OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS sketch FROM per),
-freq AS (SELECT source, id FROM (SELECT source, id, sketch, count(*) AS c FROM sk GROUP BY ALL)
-         GROUP BY ALL HAVING sum(c) - max(c) + 1 > 20 AND 2 * max(c) <= sum(c)),
+dig AS (SELECT doc_id, md5(string_agg(id, '' ORDER BY id)) AS digest FROM per GROUP BY doc_id),
+freq AS (SELECT source, id FROM per JOIN dig USING (doc_id) GROUP BY ALL HAVING count(DISTINCT digest) > 20),
 gone AS (SELECT doc_id, sum(n) AS n FROM per JOIN freq ON per.id = freq.id AND per.source IS NOT DISTINCT FROM freq.source GROUP BY doc_id),
 r AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
