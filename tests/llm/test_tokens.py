@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -11,13 +12,11 @@ from tidewright.llm.common import raw
 from tidewright.llm.tokens import encoder, vocabulary
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
-PARTS = st.sampled_from(["a", "the", " ", "  ", "\n", "\t", "\r\n", " ", "　", " ", "\u0085", "é", "é", "ß", "İ", "'s", "'", "<|endoftext|>", "1", "中", "🙂", "\x1c", "\x00", "!", "...", ",", "-", "|", "_", "$", "Z", "\u0301", "x" * 40])
+PARTS = st.sampled_from(["a", "the", " ", "  ", "\n", "\t", "\r\n", " ", "　", " ", "\u0085", "é", "é", "ß", "İ", "'s", "'", "<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "<|EndOfText|>", "1", "中", "🙂", "\x1c", "\x00", "!", "...", ",", "-", "|", "_", "$", "Z", "\u0301", "x" * 40])
 
 
 def direct(name):
-    t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary(name))
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -34,6 +33,35 @@ def test_pieces_give_the_ids_of_whole_texts(name):
     check()
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_added_tokens(name):
+    model, ours = direct(name), encoder(vocabulary(name))
+    for token in [t["content"] for t in json.loads(model.to_str())["added_tokens"]]:
+        texts = [f"hello {token} world", token, token * 2, f"a{token}b {token}.{token}", f"{token[:5]} {token[5:]}", "plain words, and more", token[:-1], token[-1] + " tail"]
+        ids, ends = ours(*raw(pa.array(texts)), 7)
+        for i, t in enumerate(texts):
+            assert ids[ends[i] : ends[i + 1]].tolist() == [*model.encode(t, add_special_tokens=False).ids, 7]
+        assert model.token_to_id(token) in ids[: ends[1]]
+
+
+def test_other_vocabularies_encode_whole_texts(tmp_path):
+    form = json.loads(direct(NAMES[0]).to_str())
+    form["pre_tokenizer"]["use_regex"] = False  # tokens may now span blanks
+    vocab = form["model"]["vocab"]
+    vocab["dĠa"], vocab["<=>"] = len(vocab), len(vocab) + 1
+    form["model"]["merges"].insert(0, ["d", "Ġa"])
+    form["model"]["merges"].insert(0, ["Ġ", "a"])
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(form))
+    model, ours = Tokenizer.from_file(str(path)), encoder(str(path))
+    texts = ["red apples and a dog", "", "bad and sad"]
+    ids, ends = ours(*raw(pa.array(texts)), 7)
+    assert not ours.cuts
+    for i, t in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == [*model.encode(t, add_special_tokens=False).ids, 7]
+    assert vocab["dĠa"] in ids
+
+
 def test_nulls_and_slices():
     ours = encoder(vocabulary(NAMES[0]))
     texts = pa.array(["drop", None, "", "two words", None]).slice(1)

@@ -1,12 +1,15 @@
 """Token ids of whole texts by the tokenizers library, each distinct piece of a block encoded once.
 
 A text is cut before every ASCII blank that follows a character which is surely no white space, and before ASCII
-punctuation (but the apostrophe) that follows an ASCII letter. Neither vocabulary used here has a token that spans such a
-place, so the ids of the pieces, one after another, are the ids of the text.
+punctuation (but the apostrophe) that follows an ASCII letter. The two vocabularies used here part words at all such places
+before they look for tokens (``SPLITS``), so the ids of the pieces, one after another, are the ids of the text. A vocabulary
+that parts words in another way encodes whole texts. Added tokens (as ``<|endoftext|>``) that stand in a text become their ids,
+as the library has it; a text that holds one is encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain
 
@@ -24,6 +27,17 @@ _POINT[[c for c in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 _LEAD = np.zeros(256, bool)  # first bytes of two-byte characters none of which is white space
 _LEAD[0xC3:0xE0] = True
 
+# fixed values: the normalisers and pre-tokenisers that part words at every place where a text is cut
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+SPLITS = [
+    (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    ),
+]
+_PLAIN = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
 
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file; any other file may be given to the operators instead."""
@@ -32,8 +46,8 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(body: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The pieces of all texts and each text's n + 1 offsets among them."""
+def pieces(body: np.ndarray, ends: np.ndarray, whole=()) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts and each text's n + 1 offsets among them; texts of the numbers in ``whole`` are not cut."""
     if not body.size:
         return pa.array([], pa.binary()), np.zeros(len(ends), np.int64)
     cut = _BLANK[body]
@@ -41,6 +55,8 @@ def pieces(body: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     solid[1:] |= _LEAD[body[:-1]]
     cut[1:] &= solid[:-1]
     cut[1:] |= _POINT[body[1:]] & _LETTER[body[:-1]]
+    for i in whole:
+        cut[ends[i] : ends[i + 1]] = False
     cut[0] = True
     cut[ends[:-1][ends[:-1] < body.size]] = True
     starts = np.flatnonzero(cut)
@@ -50,20 +66,24 @@ def pieces(body: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 
 class Encoder:
-    """Ids of blocks of texts. Up to ``most`` pieces stay known between blocks; then it starts anew."""
+    """Ids of blocks of texts. Up to ``most`` pieces of ``most_bytes`` in all stay known between blocks; then it starts anew."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 900_000, most_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.model.get_vocab_size()
-        self.most = most
+        self.most, self.most_bytes = most, most_bytes
+        form = json.loads(self.model.to_str())
+        added = form["added_tokens"]
+        self.added = [x["content"].encode() for x in added if x["content"]]
+        self.cuts = (form["normalizer"], form["pre_tokenizer"]) in SPLITS and all(x[k] == v for x in added for k, v in _PLAIN.items())
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int32)
 
@@ -80,16 +100,32 @@ class Encoder:
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.ends[n] : total] = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
             self.known.update(zip(part, range(n, n + len(part)), strict=True))
+            self.held += sum(map(len, part))
+
+    def uncut(self, body: np.ndarray, ends: np.ndarray) -> list[int]:
+        """The texts to encode whole."""
+        if not self.cuts:
+            return list(range(len(ends) - 1))
+        data, found = body.tobytes(), set()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(ends, at, "right")) - 1
+                if at + len(token) <= ends[i + 1]:
+                    found.add(i)
+                    at = int(ends[i + 1]) - 1
+                at = data.find(token, at + 1)
+        return sorted(found)
 
     def __call__(self, body: np.ndarray, ends: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``last`` after each, and the texts' n + 1 offsets in them."""
-        found, per_text = pieces(body, ends)
+        found, per_text = pieces(body, ends, self.uncut(body, ends))
         n_texts = len(ends) - 1
         if not len(found):
             return np.full(n_texts, last, np.uint32), np.arange(n_texts + 1, dtype=np.int64)
         coded = found.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.held > self.most_bytes:
             self._forget()
         places = list(map(self.known.get, distinct))
         if None in places:
