@@ -2,8 +2,9 @@
 
 Each input partition is tokenised and best-fit packed where it is read, so no text is shuffled. Bins with at most
 ``slack`` free tokens are done. The others become items of the next round: they are dealt into groups of bounded size,
-best-fit packed there, and again only underfull bins go on, until one group holds all that is left or a round brings
-nothing more. Items of later rounds are few: 24 bytes for each underfull bin.
+best-fit packed there, and again only underfull bins go on, until one group holds all that is left or a round merges
+nothing. Items of later rounds are few: 24 bytes for each underfull bin. A group leaves one bin at most that is not over half
+full, and every merge takes one of those, so rounds are few, too.
 
 Defined cases: a null or empty text is the end id alone, one piece of length 1; documents longer than a sequence are cut
 into full pieces with the shorter remainder first; repeated rows, ties and null ids are packed like any other row; an
@@ -117,12 +118,22 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     local = written(rows.mapInArrow(_local(path, end, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, fill long"), "packed")
     under = local.filter(F.col("fill") < capacity - slack).select("bin", "fill").distinct()
+    moves = merged(under, capacity, slack)
+    if moves is None:
+        return local.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
+    moves = moves.select(F.col("bin").alias("b"), "into", "shift")
+    return local.join(moves, F.col("bin") == F.col("b"), "left").select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("sequence_id"), (F.col("place") + F.coalesce("shift", F.lit(0))).alias("offset"))
+
+
+def merged(under: DataFrame, capacity: int, slack: int) -> DataFrame | None:
+    """(bin, into, shift) of the underfull bins (bin, fill): the bin that each goes into, and its place there; None if there
+    are fewer than two."""
     moves = None
     under = written(under, "underfull")
     left = under.count()
     while left > 1:
         groups = -(-left // GROUP_ITEMS)
-        # F.hash is cheap and, with the count as seed, deals the items anew each round
+        # the count as seed deals the items anew each round
         dealt = under.withColumn("g", F.pmod(F.xxhash64("bin", F.lit(left)), F.lit(groups)))
         step = written(dealt.groupBy("g").applyInPandas(_merged(capacity), "bin long, into long, shift long, fill long"), "merged")
         if moves is None:
@@ -133,14 +144,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         if groups == 1:
             break
         under = written(step.filter((F.col("bin") == F.col("into")) & (F.col("fill") < capacity - slack)).select("bin", "fill"), "underfull")
-        now = under.count()
-        if now > 0.98 * left:
+        before, left = left, under.count()
+        if left == before:
             break
-        left = now
-    if moves is None:
-        return local.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
-    moves = moves.select(F.col("bin").alias("b"), "into", "shift")
-    return local.join(moves, F.col("bin") == F.col("b"), "left").select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("sequence_id"), (F.col("place") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    return moves
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ from tidewright.llm.common import blocks, raw, shared_path, small_batches, table
 from tidewright.llm.tokens import encoder, vocabulary
 
 _HEAD, _DOC = "<QI", "<Bq"
+#: Bytes of text that make one shard at about most.
+SHARD_BYTES = 256 << 20
 
 
 def masked(crc: int) -> int:
@@ -87,6 +89,12 @@ def _writer(where: str, path: str, end: int):
     return run
 
 
+def _bytes(rows: DataFrame) -> int:
+    """The optimiser's estimate of the input's size: that of its files, when it reads files; 0 where it has none."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def write_records(docs: DataFrame, where: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int = 1) -> list:
     """Write all documents into ``where`` in ascending order of ``key``. Returns (shard, records, tokens, width) per file."""
     spark = docs.sparkSession
@@ -94,8 +102,9 @@ def write_records(docs: DataFrame, where: str, key: str = "doc_id", text: str =
     store, top = _filesystem(where)
     store.create_dir(top, recursive=True)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # equal ids go by their text, so that another run writes the same
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes(rows) // SHARD_BYTES))
+    dealt = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     path = tokenizer or vocabulary("word_bpe_49k.json")
     return sorted(tuple(r) for r in dealt.mapInArrow(_writer(where, path, end), "shard long, records long, tokens long, width long").collect())
 
