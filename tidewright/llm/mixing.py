@@ -6,7 +6,9 @@ inclusion probability, decided by the cube method: in groups of bounded size the
 space of two constraints (the document total and the word total), three units at a time, each step making one unit
 whole while both totals stand still. The two units that stay fractional in a group go on to the next round, where the
 groups of a source merge; the last few of a source are landed on the subset whose words are nearest to their
-expectation. Chance comes from hashes, so reruns agree.
+expectation. A unit that outweighs its source's others can be left to the landing, which then misses the target by a part of
+it; so, at last, a source exchanges some of its taken units for untaken ones of as many rows, which brings its words nearer and
+leaves the documents as they are. Chance comes from hashes, so reruns agree.
 
 A unit is all rows with equal id, source and text (one document, if ids are unique); they are taken alike.
 Defined cases: a null or empty text has size 0 and adds no words; a null source is a source of its own, last in order;
@@ -116,13 +118,57 @@ def _round(seed: int):
     return run
 
 
+def exchanged(p: np.ndarray, docs: np.ndarray, words: np.ndarray, lack: float) -> np.ndarray:
+    """Exchanges taken units (p = 1) for untaken ones of as many documents, the best exchange first, while that brings what
+    words ``lack`` nearer to zero."""
+    p = p.copy()
+    while abs(lack) >= 0.5:
+        best = (abs(lack), -1, -1)
+        for d in np.unique(docs):
+            out, into = (np.flatnonzero((docs == d) & (p == x)) for x in (1, 0))
+            if not len(out) or not len(into):
+                continue
+            into = into[np.argsort(words[into], kind="stable")]
+            want = words[out] + lack
+            at = np.searchsorted(words[into], want)
+            for near in (np.minimum(at, len(into) - 1), np.maximum(at - 1, 0)):
+                miss = np.abs(want - words[into[near]])
+                i = int(miss.argmin())
+                best = min(best, (float(miss[i]), int(out[i]), int(into[near[i]])), key=lambda x: x[0])
+        if best[1] < 0:
+            break
+        lack -= words[best[2]] - words[best[1]]
+        p[best[1]], p[best[2]] = 0, 1
+    return p
+
+
+def _exchange(units: pd.DataFrame) -> pd.DataFrame:
+    units = units.sort_values(["h", "doc_id", "size", "m"], kind="stable").reset_index(drop=True)
+    p = exchanged(units["p"].to_numpy(float), units["m"].to_numpy(float), (units["m"] * units["size"]).to_numpy(float), float(units["lack"].iloc[0]))
+    changed = units[p != units["p"]].copy()
+    changed["q"] = 1 - changed["p"]
+    return changed[["doc_id", "h", "q"]]
+
+
+def repaired(before: DataFrame, after: DataFrame, seed: int = 0) -> DataFrame:
+    """``after`` (units with p made 0 or 1) with exchanges within one group of each source, of bounded size, that bring its words
+    near to those of ``before``."""
+    want = before.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("m") * F.col("size") * F.col("p")).alias("want"))
+    got = after.groupBy(F.col("source").alias("s2")).agg(F.sum(F.col("m") * F.col("size") * F.col("p")).alias("got"), F.ceil(F.count(F.lit(1)) / GROUP_UNITS).alias("parts"))
+    off = want.join(got, F.col("s").eqNullSafe(F.col("s2"))).select("s", (F.col("want") - F.col("got")).alias("lack"), "parts").filter("abs(lack) >= 0.5")
+    pool = after.join(off, F.col("source").eqNullSafe(F.col("s"))).filter(F.pmod(F.xxhash64("h", F.lit(seed + 991)), F.col("parts")) == 0)
+    changed = written(pool.select("doc_id", "source", "h", "size", "m", "p", "lack").groupBy("source").applyInPandas(_exchange, "doc_id long, h long, q double"), "exchanged")
+    changed = changed.select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "q")
+    return after.join(changed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left").select("doc_id", "source", "h", "size", "m", F.coalesce("q", "p").alias("p"))
+
+
 _UNIT = "doc_id long, source string, h long, size long, m long, p double"
 
 
 def balanced(units: DataFrame, seed: int = 0) -> DataFrame:
     """Units (doc_id, source, h, size, m, p) with every p made 0 or 1 by the cube method within each source."""
-    done = []
-    for k in range(40):
+    done, k = [], 0
+    while True:
         counts = units.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(F.col("source").alias("s"), F.ceil(F.col("n") / GROUP_UNITS).alias("parts"))
         dealt = units.join(counts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
         dealt = dealt.withColumn("g", F.pmod(F.xxhash64("h", F.lit(seed + k)), F.col("parts")))
@@ -131,6 +177,7 @@ def balanced(units: DataFrame, seed: int = 0) -> DataFrame:
         units = step.filter("p > 0 and p < 1")
         if units.isEmpty():
             break
+        k += 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -146,7 +193,8 @@ def shares(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
     units = units.join(aims, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") / F.col("source_size"))
     units = units.withColumn("base", F.floor(rate + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), rate - F.col("base")))
-    more = balanced(units.filter("p > 0").select("doc_id", "source", "h", "size", "m", "p"), seed)
+    open_ = units.filter("p > 0").select("doc_id", "source", "h", "size", "m", "p")
+    more = repaired(open_, written(balanced(open_, seed), "balanced"), seed)
     more = more.filter("p = 1").select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), F.lit(1).alias("one"))
     units = units.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left")
     return units.select("doc_id", "source", "h", "m", "size", "source_size", "target", (F.col("base") + F.coalesce("one", F.lit(0))).cast("long").alias("copies"))
