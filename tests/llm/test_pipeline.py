@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.helpers import ODD_TEXTS
+from tests.llm.helpers import ODD_TEXTS, no_documents, odd_documents
 from tests.llm.test_mixing import filled
 from tests.llm.test_minhash import WORD
 
@@ -15,7 +15,7 @@ def made(tmp_path, spark, n=240):
         w = [rng.choice(vocab) for _ in range(rng.randrange(15, 150))]
         bad = i % 6 == 0
         text = " ".join(x + "###" if bad else x for x in w)
-        if i % 4 == 1:
+        if i // 3 % 2:  # 40 pages of each host
             text += "\nthis line is on very many pages of the host and says nothing at all"
         rows.append((i, text, "en", f"s{i % 3}", len(text)))
         labels.append((i, int(not bad), 0))
@@ -55,6 +55,23 @@ def test_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in mixed)
 
 
+def test_stages_take_empty_tables(spark, tmp_path):
+    made(tmp_path, spark, 12)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, no_documents(spark), str(tmp_path))
+        assert out.count() == 0, name
+        assert name == "best_fit_packing" or out.columns == corpus_pipeline.COLUMNS
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    made(tmp_path, spark, 12)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = odd_documents(spark)
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "best_fit_packing" or out.columns == corpus_pipeline.COLUMNS
+        assert out.count() >= 0
+
+
 def test_run(spark, tmp_path):
     made(tmp_path, spark, 60)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

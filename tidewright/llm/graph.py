@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import written
+from tidewright.llm.common import removed, written
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(least, F.col("u") == F.col("c"))
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
-        now = written(small, "links")
+        old, now = now, written(small, "links")
+        removed(old)
         before, mark = mark, _mark(now)
         if mark == before:
             break
