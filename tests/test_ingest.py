@@ -78,6 +78,41 @@ def test_paged_modes():
     assert slept == [0.5]
 
 
+def test_waits_and_posts():
+    asked, slept = [], []
+    answers = iter([({}, {"Retry-After": "3"}, 429), ({}, {"retry-after": "Thu, 01 Jan 1970 00:00:00 GMT"}, 503), ({"r": [{"id": 1}]}, {}, 200)])
+
+    def transport(params, body):
+        asked.append((params, body))
+        return next(answers)
+
+    got = list(paged.Paged(transport, "page", 5, record_path="r", body={"q": "x"}, sleep=slept.append).pages())
+    assert [r for _, r, _ in got] == [[{"id": 1}]] and slept == [3.0, 0.0] and asked[0] == ({"page": 1, "per_page": 5}, {"q": "x"})
+    with pytest.raises(ConnectionError):
+        list(paged.Paged(lambda p: ({}, {}, 503), "page", 5, tries=2, sleep=slept.append).pages())
+
+
+def test_units_set_aside_are_tried_again(spark, tmp_path):
+    a = lambda s: s.createDataFrame([(1, 5), (2, -1)], "id bigint, amount bigint")
+    p = pipe(spark, tmp_path, [("a", a)], rules=RULES)
+    assert ingest.run(spark, p)["quarantined"] == 1
+    assert ingest.retry_set_aside(spark, p) == {"loaded": 0, "kept": 1}
+    calls = []
+
+    def crash(uid):
+        calls.append(uid)
+        if len(calls) == 1:
+            raise RuntimeError("killed")
+
+    p.after_write = crash
+    fix = lambda df: df.selectExpr("id", "abs(amount) AS amount")
+    with pytest.raises(RuntimeError):
+        ingest.retry_set_aside(spark, p, fix)
+    assert ingest.retry_set_aside(spark, p, fix) == {"loaded": 1, "kept": 0}
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "*")).collect()) == [(1, 5), (2, 1)]
+    assert ingest.retry_set_aside(spark, p, fix) == {"loaded": 0, "kept": 0}
+
+
 RULES = [gate.Rule("id", "not_null"), gate.Rule("amount", "min", 0)]
 
 
@@ -189,7 +224,8 @@ def test_outbound_changes(spark):
     known = first.selectExpr("key", "hash", "key = '9' AS dead")
     now = spark.createDataFrame([(1, "a"), (3, "c"), (2, "z")], "id bigint, v string").filter("id <> 1")
     assert {(r["key"], r["action"]) for r in keyed.changes(now, known, "id", "mirror").collect()} == {("1", "delete"), ("2", "update"), ("3", "insert")}
-    with pytest.raises(DataError):
-        keyed.changes(src.union(src), ledger, "id")
+    for bad in (src.union(src), src.union(spark.createDataFrame([(None, "x")], src.schema))):
+        with pytest.raises(Exception, match="keys must"):
+            keyed.changes(bad, ledger, "id").select("key", "action").collect()
     with pytest.raises(DataError):
         keyed.safe_to_send(first, 0, first_limit=1)

@@ -4,8 +4,10 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 from tidewright.errors import ConflictError, DataError, SpecError
-from tidewright.operators import gate, maintain, publish, query
+from tidewright.operators import gate, maintain, publish, query, transform
 from tidewright.operators.state import Store
+from tidewright.plans.ir import from_mapping
+from tidewright.sources.union import read_parquet
 from tidewright.streaming import runner, watermark
 
 
@@ -100,6 +102,54 @@ def test_structured_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "*")).count() == 15
 
 
+def test_structured_streaming_sets_late_rows_aside(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    put = lambda name, rows: spark.createDataFrame(rows, "id bigint, at string").coalesce(1).write.parquet(str(src / name))
+    put("a", [(1, "2024-01-01T10:00:00Z"), (2, "2024-01-01T12:00:00Z")])
+    seen = []
+    s = stream(tmp_path, [], event_time="at", after_write=seen.append)
+    run = lambda: runner.structured(spark.readStream.schema("id bigint, at string").parquet(str(src / "*")), s, str(tmp_path / "ckpt")).awaitTermination(120)
+    assert run()
+    put("b", [(3, "2024-01-01T09:00:00Z"), (4, "2024-01-01T13:00:00Z")])
+    assert run()
+    assert {r.id for r in spark.read.parquet(str(tmp_path / "out" / "*")).collect()} == {1, 2, 4} and len(seen) == 2
+    late = [p for p in tmp_path.rglob("*.parquet") if "late" in str(p)]
+    assert [r.id for p in late for r in spark.read.parquet(str(p)).collect()] == [3]
+
+
+def test_compaction_keeps_partitions(spark, tmp_path):
+    where = str(tmp_path / "t")
+    for i in range(3):
+        spark.createDataFrame([(i, "a", 1), (i + 10, "b", 1), (i + 20, "b", 2)], "id bigint, k string, n int").coalesce(1).write.mode("append").partitionBy("k", "n").parquet(where)
+    spark.createDataFrame([(99, "c", 1)], "id bigint, k string, n int").coalesce(1).write.mode("append").partitionBy("k", "n").parquet(where)
+    rows = lambda: sorted(tuple(r) for r in spark.read.parquet(where).select("id", "k", "n").collect())
+    before = rows()
+    assert maintain.compact(spark, where)["files"] == 10
+    assert rows() == before and len(maintain.compaction_plan(where, 1 << 20, 1)) == 4
+    assert sorted(read_parquet(spark, where).columns) == ["id", "k", "n"]
+    job = maintain.Backfill(spark, where)
+    job.run(lambda df: df.withColumn("id", df.id + 1))
+    job.promote()
+    assert rows() == [(i + 1, k, n) for i, k, n in before]
+
+
+def test_publishing_through_another_file_system(spark, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.box.link./d", f"file://{tmp_path}")
+    where = "viewfs://box/d/t"
+    publish.publish(spark.range(3).toDF("id"), where)
+    publish.upsert_table(spark.createDataFrame([(2, "x"), (2, "y"), (7, None)], "id bigint, v string"), where, ["id"])
+    assert sorted((r.id, r.v) for r in publish.read(spark, where).collect()) == [(0, None), (1, None), (2, "y"), (7, None)]
+    publish.write_unit(spark.range(2).toDF("id"), "viewfs://box/d/u", "one")
+    publish.write_unit(spark.range(4).toDF("id"), "viewfs://box/d/u", "one")
+    assert spark.read.parquet("viewfs://box/d/u/unit_one").count() == 4
+    spec = from_mapping({"name": "v", "input": "viewfs://box/d/u", "output": "viewfs://box/d/o", "incremental": {"mode": "by_unit"}})
+    store = Store(str(tmp_path / "v.db"))
+    assert transform.run(spark, spec, store)["files"] >= 1 and transform.run(spark, spec, store)["files"] == 0
+    assert transform.output(spark, spec).count() == 4
+
+
 def test_compaction_and_backfill(spark, tmp_path):
     where = str(tmp_path / "t")
     for i in range(4):
@@ -144,3 +194,22 @@ def test_questions(spark, tmp_path):
     assert query.retrieve({"orders": "order amount", "people": "names"}, "total amount of orders") == ["orders"]
     (tmp_path / "c.csv").write_text("a,b\n1,x\n")
     assert query.run(spark, f"SELECT a FROM read_csv('{tmp_path}/c.csv')").first()[0] == 1
+
+
+def test_paths_in_queries(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("a|b\n1|x\n2|none\n")
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    c, p = f"{tmp_path}/c.csv", f"{tmp_path}/p"
+    assert [tuple(r) for r in query.run(spark, f"SELECT a, b FROM read_csv('{c}', delim='|', nullstr='none') ORDER BY a").collect()] == [(1, "x"), (2, None)]
+    for bad in ("skip=2", "header=false", "delim=3"):
+        with pytest.raises(SpecError):
+            query.run(spark, f"SELECT * FROM read_csv('{c}', {bad})")
+    assert query.run(spark, f"SELECT extract(year FROM CAST('2020-01-01' AS date)) AS y, 'FROM a' AS s FROM '{p}' a, '{p}' AS b WHERE a.id = b.id AND a.id IN (1, 2)").collect() == [(2020, "FROM a")] * 2
+    assert query.run(spark, f"WITH w AS (SELECT id FROM '{p}') SELECT count(*) FROM w JOIN (SELECT id FROM read_parquet('{p}', union_by_name=true)) x ON w.id = x.id AND 'a' <> 'b'").first()[0] == 3
+    assert query.run(spark, f"SELECT extract(year FROM '2020-01-01') AS y FROM '{p}' LIMIT 1").first()[0] == 2020
+
+
+def test_statements_in_answers():
+    s = "SELECT 1"
+    for text in (s, f"{s};", f"```sql\n{s};\n```", f"Try this:\n```\n{s}\n```\nor not", f"```{s}```", f"```sql\nDROP TABLE t\n```\n```sql\n{s}\n```", f"```SQL\n{s}"):
+        assert query.extract_sql(text) == s

@@ -60,7 +60,7 @@ def _bad_format(code: str) -> str:
     raise SpecError(f"date format {code} has no counterpart")
 
 
-_RENAMED = {"starts_with": "startswith", "ends_with": "endswith", "list_contains": "array_contains", "json_extract_string": "get_json_object", "len": "length", "list_distinct": "array_distinct", "list_sort": "array_sort", "list_sum": "aggregate_sum"}
+_RENAMED = {"starts_with": "startswith", "ends_with": "endswith", "list_contains": "array_contains", "json_extract_string": "get_json_object", "len": "length", "list_distinct": "array_distinct", "list_sort": "array_sort", "list_sum": "aggregate_sum", "quantile_cont": "percentile"}
 
 
 def to_spark(text: str) -> str:
@@ -72,7 +72,7 @@ def to_spark(text: str) -> str:
         kind, t = items[i]
         low = t.lower()
         call = kind == "word" and i + 1 < len(items) and items[i + 1][1] == "("
-        if call and low in ("strftime", "date_diff", "datediff", "sha256", "regexp_replace", "list_sum"):
+        if call and low in ("strftime", "date_diff", "datediff", "sha256", "regexp_replace", "list_sum", "concat"):
             args, after = _arguments(items, i + 1)
             done = _call(low, [to_spark(a) for a in args])
             if done is not None:
@@ -104,6 +104,9 @@ def _call(name: str, args: list[str]) -> str | None:
         unit = args[0].strip("'").upper()
         # boundaries crossed, not whole units elapsed
         return f"timestampdiff({unit}, date_trunc('{unit}', {args[1]}), date_trunc('{unit}', {args[2]}))"
+    if name == "concat" and args:
+        # nulls are skipped, as the operator || does not
+        return f"concat_ws('', {', '.join(f'CAST({a} AS STRING)' for a in args)})"
     if name == "sha256" and len(args) == 1:
         return f"sha2({args[0]}, 256)"
     if name == "list_sum" and len(args) == 1:

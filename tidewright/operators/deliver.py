@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewright.errors import DataError
 from tidewright.operators import keyed
+from tidewright.session import scratch
 
 
 def dispatch_id(name: str, key: str, content: str) -> str:
@@ -26,8 +27,13 @@ class Ledger:
         self.con.execute("CREATE TABLE IF NOT EXISTS sent(key TEXT PRIMARY KEY, hash TEXT, attempts INTEGER DEFAULT 0, dead INTEGER DEFAULT 0, error TEXT)")
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(k, h, bool(d)) for k, h, d in self.con.execute("SELECT key, hash, dead FROM sent WHERE hash IS NOT NULL OR dead = 1")]
-        return spark.createDataFrame(rows, "key string, hash string, dead boolean")
+        """The ledger as a table: written as Parquet by a bounded number of rows at a time, in the folder that is shared."""
+        schema, where = "key string, hash string, dead boolean", scratch(spark, "ledger")
+        rows = self.con.execute("SELECT key, hash, dead FROM sent WHERE hash IS NOT NULL OR dead = 1")
+        spark.createDataFrame([], schema).write.parquet(where)
+        while part := rows.fetchmany(200_000):
+            spark.createDataFrame([(k, h, bool(d)) for k, h, d in part], schema).coalesce(1).write.mode("append").parquet(where)
+        return spark.read.schema(schema).parquet(where)
 
     def size(self) -> int:
         return self.con.execute("SELECT count(*) FROM sent WHERE hash IS NOT NULL").fetchone()[0]

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ class Rule:
         if self.kind == "not_null":
             return c.isNull()
         if self.kind == "unique":
-            return c.isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy(c)) > 1)
+            return F.coalesce(F.col(f"_copies_{self.field}"), F.lit(False))
         beyond = c < F.lit(self.limit) if self.kind == "min" else c > F.lit(self.limit)
         if isinstance(df.schema[self.field].dataType, (T.FloatType, T.DoubleType)):
             beyond = beyond & ~F.isnan(c)
@@ -59,15 +59,23 @@ def counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.agg(*[r.count(df).cast("long").alias(r.name) for r in rules])
 
 
-def mask(df: DataFrame, rules: list[Rule]) -> Column:
-    for r in rules:
-        r.check(df)
-    return reduce(lambda a, b: a | b, [r.row(df) for r in rules], F.lit(False))
+def with_copies(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``df`` with a mark on values that must be unique and are not. The values are counted with a partial aggregation and only
+    those seen twice are joined; nulls, which the rule leaves alone, are dealt by row instead of meeting in one task."""
+    for name in dict.fromkeys(r.field for r in rules if r.kind == "unique"):
+        c = F.col(f"`{name}`")
+        twice = df.filter(c.isNotNull()).groupBy(c.alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_v", F.lit(0).alias("_s"), F.lit(True).alias(f"_copies_{name}"))
+        salted = df.withColumn("_salt", F.when(c.isNotNull(), 0).otherwise((F.monotonically_increasing_id() % 1024).cast("int") + 1))
+        df = salted.join(twice, (c == F.col("_v")) & (F.col("_salt") == F.col("_s")), "left").drop("_v", "_s", "_salt")
+    return df
 
 
 def split(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
     """Rows that keep all rules, and rows that break any; every copy of a value that must be unique breaks it."""
-    marked = df.withColumn("_breaks", mask(df, rules))
+    for r in rules:
+        r.check(df)
+    breaks = reduce(lambda a, b: a | b, [r.row(df) for r in rules], F.lit(False))
+    marked = with_copies(df, rules).withColumn("_breaks", breaks).select(*[F.col(f"`{c}`") for c in df.columns], "_breaks")
     return marked.filter("not _breaks").drop("_breaks"), marked.filter("_breaks").drop("_breaks")
 
 

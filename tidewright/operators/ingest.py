@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import random
+import shutil
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -53,6 +55,31 @@ def set_aside(df: DataFrame, pipe: Pipeline, unit: str, reason: dict) -> None:
         json.dump(reason, f)
 
 
+def retry_set_aside(spark: SparkSession, pipe: Pipeline, fix: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict:
+    """Tries the units that were set aside again, after ``fix``. Rows that keep all rules are written under the unit's own retry
+    name, and only then the unit leaves the folder; a run that stops in between writes the same name again."""
+    where, done = os.path.join(pipe.state, "dlq", pipe.name), {"loaded": 0, "kept": 0}
+    store = Store(os.path.join(pipe.state, f"{pipe.name}.db"))
+    for name in sorted(os.listdir(where)) if os.path.isdir(where) else []:
+        if not name.startswith("unit_"):
+            continue
+        uid = name.removeprefix("unit_")
+        df = fix(spark.read.parquet(os.path.join(where, name)))
+        broken = bool(pipe.rules) and any(gate.counts(df, pipe.rules).first().asDict().values())
+        if broken or (pipe.contract and gate.contract_breaches(df, pipe.contract, pipe.extra_columns)):
+            done["kept"] += 1
+            continue
+        rows = df.count()
+        (pipe.sink or (lambda d, u: publish.write_unit(d, pipe.output, u)))(df, f"{uid}-retry")
+        pipe.after_write(uid)
+        store.finish(uid, "done", rows)
+        shutil.rmtree(os.path.join(where, name))
+        with contextlib.suppress(FileNotFoundError):
+            os.unlink(os.path.join(where, f"{uid}.json"))
+        done["loaded"] += 1
+    return done
+
+
 def run(spark: SparkSession, pipe: Pipeline, holder: str = "driver") -> dict:
     os.makedirs(pipe.state, exist_ok=True)
     store = Store(os.path.join(pipe.state, f"{pipe.name}.db"))

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], prefix: str = "", slices: str | None = None) -> DataFrame:
     """Each left row with ``values`` of the latest right row of the same key at or before it: one shuffle and a running
-    last value, no matter how many right rows a key has.
+    last value, no matter how many right rows a key has. Right rows without a time match nothing, and left rows without one get
+    nulls.
 
     A key with very many rows is dealt by time as well if ``slices`` names a unit (day, month, ...): each slice runs for
     itself and starts from the last value of the slices before, of which there are few."""
     kind = right.select(F.struct(*values)).schema[0].dataType
     a = left.select(F.struct(*left.columns).alias("_l"), *by, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_r"))
+    # a row without a time is before nothing
+    right = right.filter(F.col(on).isNotNull())
     b = right.select(F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), *by, F.col(on).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_r"))
     both = a.unionByName(b)
     keys = list(by)
@@ -32,8 +35,10 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list
     return out.select("_l.*", *[F.col(f"_r.{v}").alias(f"{prefix}{v}") for v in values])
 
 
-def in_ranges(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
-    """Points with the half-open ranges they lie in, joined on buckets of ``width`` instead of by a nested loop."""
-    p = points.withColumn("_bucket", F.floor(F.col(at) / width))
-    r = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))
+def in_ranges(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
+    """Points with the half-open ranges they lie in, joined on buckets of ``width`` instead of by a nested loop. Empty ranges and
+    nulls match nothing; numbers may be fractional."""
+    bucket = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    p = points.withColumn("_bucket", bucket(at))
+    r = ranges.filter(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
     return p.join(r, "_bucket").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_bucket")

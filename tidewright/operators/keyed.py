@@ -15,6 +15,15 @@ def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
+def settled(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, the greatest by all other columns in their order (nulls last), so that runs agree. Maps count by
+    their JSON form."""
+    others = [F.to_json(F.col(f"`{f.name}`")) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema if f.name not in keys]
+    order = [c.desc_nulls_last() for c in others] or [F.lit(1)]
+    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """``old`` without the keys of ``new``, and ``new``; in ``new`` the last row of a key by ``order`` wins."""
     if order:
@@ -67,14 +76,15 @@ def changes(source: DataFrame, ledger: DataFrame, key: str, mode: str = "upsert"
     """(key, action, hash) of an outbound run: insert, update, delete (mode mirror) or unchanged.
 
     ``ledger`` has (key, hash, dead); dead keys are left out. Mode insert leaves known keys alone."""
-    bad = source.agg(F.count_if(F.col(key).isNull()).alias("nulls"), (F.count(key) - F.count_distinct(key)).alias("copies")).first()
-    if bad["nulls"] or bad["copies"]:
-        raise DataError(f"keys must be unique and not null: {bad.asDict()}")
     now = source.select(F.col(key).cast("string").alias("key"), F.sha2(F.to_json(F.struct(*sorted(source.columns)), {"ignoreNullFields": "false"}), 256).alias("hash"))
+    # one pass finds null and repeated keys where the key is grouped for the join anyway; such a key stops the run that reads it
+    once = F.when(F.col("key").isNull(), F.raise_error(F.lit("keys must not be null"))).when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("keys must be unique: "), F.col("key")))).otherwise(F.max("hash"))
+    now = now.groupBy("key").agg(once.cast("string").alias("hash"))
     old = ledger.select(F.col("key").alias("_key"), F.col("hash").alias("_hash"), "dead")
     both = now.join(old, F.col("key") == F.col("_key"), "full")
     changed = F.lit("unchanged") if mode == "insert" else F.when(F.col("hash") == F.col("_hash"), "unchanged").otherwise("update")
-    action = F.when(F.col("_key").isNull(), "insert").when(F.col("key").isNull(), "delete").otherwise(changed)
+    # the hash is asked for, so that it is worked out, and with it the check, whatever columns are read
+    action = F.when(F.col("key").isNull(), "delete").when(F.col("_key").isNull() & F.col("hash").isNotNull(), "insert").otherwise(changed)
     out = both.filter(~F.coalesce("dead", F.lit(False))).select(F.coalesce("key", "_key").alias("key"), action.alias("action"), F.coalesce("hash", "_hash").alias("hash"))
     return out if mode == "mirror" else out.filter("action <> 'delete'")
 

@@ -8,7 +8,9 @@ import re
 import shutil
 import time
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +27,23 @@ def compaction_plan(path: str, target: int, least: int = 2, most: int | None = N
     return small if len(small) >= least and (most is None or total <= most) else []
 
 
+def _compacted(spark: SparkSession, files: list[str], to: str, target: int) -> int:
+    """Writes the files of one folder anew; returns their rows. Their columns are checked against what was written."""
+    df = read_parquet(spark, os.path.dirname(files[0]), files)
+    df.coalesce(max(1, -(-sum(map(os.path.getsize, files)) // target))).write.mode("append").option("compression", "zstd").parquet(to)
+    got = spark.read.schema(df.schema).parquet(to)
+    written = spark.read.parquet(to).schema
+    if [(f.name, f.dataType) for f in written] != [(f.name, f.dataType) for f in df.schema]:
+        raise RuntimeError(f"compaction changed columns: {written.simpleString()}")
+    rows = df.count()
+    if got.count() != rows:
+        raise RuntimeError("compaction lost rows")
+    return rows
+
+
 def compact(spark: SparkSession, path: str, target: int = 128 << 20, least: int = 2, most: int | None = None, dry_run: bool = False) -> dict:
-    """Small files become files of about ``target`` bytes; the others stay. The old directory comes back if a step fails."""
+    """Small files become files of about ``target`` bytes, folder by folder, so that folders ``k=v`` keep their rows; the others
+    stay, linked where the file system can. The old directory comes back if a step fails."""
     files = compaction_plan(path, target, least, most)
     size = sum(map(os.path.getsize, files))
     done = {"files": len(files), "bytes": size, "dry_run": dry_run}
@@ -34,19 +51,26 @@ def compact(spark: SparkSession, path: str, target: int = 128 << 20, least: int
         return done
     path = path.rstrip("/")
     new, old = f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
-    df = read_parquet(spark, path, files)
-    before = df.count()
-    df.coalesce(max(1, -(-size // target))).write.option("compression", "zstd").parquet(new)
-    if spark.read.parquet(new).count() != before:
-        shutil.rmtree(new)
-        raise RuntimeError("compaction lost rows")
-    for d, _, fs in os.walk(path):
-        for f in fs:
-            full = os.path.join(d, f)
-            if f.endswith(".parquet") and full not in files:
-                to = os.path.join(new, os.path.relpath(full, path))
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                shutil.copy2(full, to)
+    folders: dict[str, list[str]] = defaultdict(list)
+    for f in files:
+        folders[os.path.dirname(f)].append(f)
+    gone = set(files)
+    try:
+        with ThreadPoolExecutor(8) as pool:
+            before = sum(pool.map(lambda d: _compacted(spark, folders[d], os.path.normpath(os.path.join(new, os.path.relpath(d, path))), target), folders))
+        for d, _, fs in os.walk(path):
+            for f in fs:
+                full = os.path.join(d, f)
+                if f.endswith(".parquet") and full not in gone:
+                    to = os.path.join(new, os.path.relpath(full, path))
+                    os.makedirs(os.path.dirname(to), exist_ok=True)
+                    try:
+                        os.link(full, to)
+                    except OSError:
+                        shutil.copy2(full, to)
+    except BaseException:
+        shutil.rmtree(new, ignore_errors=True)
+        raise
     os.replace(path, old)
     try:
         os.replace(new, path)
@@ -67,10 +91,16 @@ class Backfill:
 
     def run(self, change: Callable[[DataFrame], DataFrame]) -> int:
         shutil.rmtree(self.stage, ignore_errors=True)
-        change(read_parquet(self.spark, self.path)).write.option("compression", "zstd").parquet(self.stage)
+        folders = [d.split("=")[0] for d in self._folders()]
+        change(read_parquet(self.spark, self.path)).write.partitionBy(*folders).option("compression", "zstd").parquet(self.stage)
         self.ready = True
         return self.spark.read.parquet(self.stage).count()
 
+    def _folders(self) -> list[str]:
+        """The folders ``k=v`` above the first file, outermost first."""
+        first = next((d for d, _, fs in sorted(os.walk(self.path)) if any(f.endswith(".parquet") for f in fs)), self.path)
+        return [x for x in os.path.relpath(first, self.path).split(os.sep) if "=" in x]
+
     def promote(self) -> None:
         if not self.ready:
             raise SpecError("nothing is ready")

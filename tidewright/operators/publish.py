@@ -1,60 +1,67 @@
-"""Atomic publication of directories: a new version is written aside, and a pointer file is replaced at once."""
+"""Atomic publication of directories: a new version is written aside, and a pointer file is replaced at once. Paths may lie in
+any store Spark reads."""
 
 from __future__ import annotations
 
 import os
-import shutil
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.errors import ConflictError
+from tidewright.sources.fs import Files
 
 _POINTER = "_current"
 
 
-def current(path: str) -> str | None:
+def current(path: str, spark: SparkSession | None = None) -> str | None:
     """The directory that holds the published version, or None."""
-    p = os.path.join(path, _POINTER)
-    if not os.path.exists(p):
-        return None
-    with open(p, encoding="utf-8") as f:
-        return os.path.join(path, f.read().strip())
+    files = Files(path, spark)
+    pointer = f"{path}/{_POINTER}"
+    return f"{path}/{files.read(pointer).strip()}" if files.exists(pointer) else None
 
 
 def publish(df: DataFrame, path: str, keep: int = 1) -> str:
     """Writes a version beside the published one, points to it, and removes older ones. Readers see the one or the other."""
-    os.makedirs(path, exist_ok=True)
-    old = current(path)
+    files = Files(path, df.sparkSession)
+    files.make(path)
+    old = current(path, df.sparkSession)
     name = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
-    df.write.option("compression", "zstd").parquet(os.path.join(path, name))
-    tmp = os.path.join(path, f"{_POINTER}.{uuid.uuid4().hex}")
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write(name)
-    os.replace(tmp, os.path.join(path, _POINTER))
-    versions = sorted(d for d in os.listdir(path) if d.startswith("v-"))
+    df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+    files.replace(f"{path}/{_POINTER}", name)
+    versions = [d for d in files.names(path) if d.startswith("v-")]
     for d in versions[: max(0, len(versions) - keep - (old is not None))]:
-        shutil.rmtree(os.path.join(path, d), ignore_errors=True)
-    return os.path.join(path, name)
+        files.remove(f"{path}/{d}")
+    return f"{path}/{name}"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame | None:
-    where = current(path)
+    where = current(path, spark)
     return None if where is None else spark.read.parquet(where)
 
 
 def write_unit(df: DataFrame, path: str, unit: str) -> str:
     """One directory per unit: a unit written again takes the place of the first."""
-    os.makedirs(path, exist_ok=True)
-    tmp, final = os.path.join(path, f"_tmp-{uuid.uuid4().hex}"), os.path.join(path, f"unit_{unit}")
+    files = Files(path, df.sparkSession)
+    files.make(path)
+    tmp, final = f"{path}/_tmp-{uuid.uuid4().hex}", f"{path}/unit_{unit}"
     df.write.option("compression", "zstd").parquet(tmp)
-    if os.path.exists(final):
-        shutil.rmtree(final)
-    os.replace(tmp, final)
+    files.remove(final)
+    files.move(tmp, final)
     return final
 
 
+def upsert_table(df: DataFrame, path: str, keys: list[str], order: str | None = None) -> str:
+    """The published table at ``path`` with the rows of ``df`` in place of those of the same keys; of several new rows of a key the
+    last by ``order`` wins, without one the greatest by all columns. A run that stops before the pointer moves changes nothing."""
+    from tidewright.operators import keyed
+
+    old = read(df.sparkSession, path)
+    new = keyed.last_per_key(df, keys, order) if order else keyed.settled(df, keys)
+    return publish(new if old is None else keyed.upserted(old, new, keys), path, keep=2)
+
+
 class FileLock:
     """A lock file; a few attempts with doubling waits."""
 

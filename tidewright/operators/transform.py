@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -10,18 +11,24 @@ from tidewright.operators import keyed, publish
 from tidewright.operators.state import Store, unit_id
 from tidewright.plans.compile import build
 from tidewright.plans.ir import Plan
-from tidewright.sources.union import parquet_files, read_parquet, union_by_name
+from tidewright.sources.fs import Files
+from tidewright.sources.union import parquet_status, read_parquet, union_by_name
+
+#: Units written at once; each is a job of its own, so that it can be named by its file.
+UNITS_AT_ONCE = 8
 
 
 def inputs(spark: SparkSession, plan: Plan) -> dict[str, str]:
     """Input files with size and time; what lies under the output is never input."""
-    out = os.path.abspath(plan.output)
+    there = Files(plan.output, spark)
+    out = there.fs.makeQualified(there._at(plan.output)).toString()
     found = {}
-    for f in parquet_files(spark, plan.input):
-        local = f.removeprefix("file:")
-        if not os.path.abspath(local).startswith(out + os.sep):
-            s = os.stat(local)
-            found[os.path.abspath(local)] = f"{s.st_size}:{s.st_mtime_ns}"
+    files = Files(plan.input, spark)
+    for f, mark in parquet_status(spark, plan.input):
+        whole = files.fs.makeQualified(files._at(f)).toString()
+        if not whole.startswith(out.rstrip("/") + "/"):
+            local = files.plain(whole)
+            found[local if files.local else whole] = f"{mark}:{os.stat(local).st_mtime_ns}" if files.local else mark
     return found
 
 
@@ -32,25 +39,25 @@ def run(spark: SparkSession, plan: Plan, store: Store | None = None) -> dict:
         return {"mode": "full", "files": len(files)}
     known = dict(store.con.execute("SELECT path, signature FROM inputs WHERE plan=?", (plan.name,)).fetchall())
     mode, key = plan.incremental
-    there = publish.current(plan.output) is not None if mode == "by_key" else os.path.isdir(plan.output) and any(d.startswith("unit_") for d in os.listdir(plan.output))
+    files_out = Files(plan.output, spark)
+    there = publish.current(plan.output, spark) is not None if mode == "by_key" else any(d.startswith("unit_") for d in files_out.names(plan.output))
     fresh = store.meta(f"plan:{plan.name}") != plan.hash or (known and not there) or any(files.get(p) != s for p, s in known.items())
     pending = sorted(files) if fresh else sorted(p for p in files if p not in known)
     if fresh:
         store.con.execute("DELETE FROM inputs WHERE plan=?", (plan.name,))
-        if mode == "by_unit" and os.path.isdir(plan.output):
-            import shutil
-
-            shutil.rmtree(plan.output)
+        if mode == "by_unit":
+            files_out.remove(plan.output)
     if pending and mode == "by_unit":
         # one part for each input file, named by the file: a run that stops half-way repeats no row
-        for f in pending:
-            publish.write_unit(build(spark.read.parquet(f), plan), plan.output, unit_id(plan.name, plan.input, f))
+        files_out.make(plan.output)
+        write = lambda f: publish.write_unit(build(read_parquet(spark, plan.input, [f]), plan), plan.output, unit_id(plan.name, plan.input, f))
+        with ThreadPoolExecutor(UNITS_AT_ONCE) as pool:
+            list(pool.map(write, pending))
     elif pending:
         new = build(read_parquet(spark, plan.input, pending), plan)
+        new = keyed.settled(new, list(key))
         if not fresh and (old := publish.read(spark, plan.output)) is not None:
-            new = keyed.upserted(old, new.dropDuplicates(list(key)), list(key))
-        else:
-            new = new.dropDuplicates(list(key))
+            new = keyed.upserted(old, new, list(key))
         publish.publish(new, plan.output)
     with store.transaction() as con:
         con.executemany("INSERT OR REPLACE INTO inputs VALUES(?,?,?)", [(plan.name, p, files[p]) for p in pending])
@@ -60,7 +67,7 @@ def run(spark: SparkSession, plan: Plan, store: Store | None = None) -> dict:
 
 def output(spark: SparkSession, plan: Plan):
     """The published rows."""
-    if publish.current(plan.output) is not None:
+    if publish.current(plan.output, spark) is not None:
         return publish.read(spark, plan.output)
-    parts = sorted(os.path.join(plan.output, d) for d in os.listdir(plan.output) if d.startswith("unit_"))
+    parts = [f"{plan.output}/{d}" for d in Files(plan.output, spark).names(plan.output) if d.startswith("unit_")]
     return union_by_name([spark.read.parquet(p) for p in parts])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidewright.operators import gate, joins, keyed, query
 from tidewright.plans.compile import build
 from tidewright.plans.ir import from_mapping
-from tidewright.sources.union import union_by_name
+from tidewright.session import scratch
+from tidewright.sources.union import read_parquet, union_by_name
 from tidewright.streaming import windows
 
 QUERIES: dict = {}
@@ -99,6 +100,12 @@ for _name, _text in {
     "win_moving_avg": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean FROM '{d}/events.parquet'",
     "win_first_last": "SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first FROM '{d}/orders.parquet'",
     "sort_topk": "SELECT o_orderkey, o_totalprice FROM '{d}/orders.parquet' ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25",
+    "set_intersect_all": "SELECT o_custkey AS k FROM '{d}/orders.parquet' INTERSECT ALL SELECT c_custkey AS k FROM '{d}/customer.parquet'",
+    "join_nonequi": "SELECT r_regionkey, n_nationkey FROM '{d}/region.parquet' JOIN '{d}/nation.parquet' ON r_regionkey < n_nationkey AND n_regionkey <> r_regionkey",
+    "agg_percentile": "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.9), 4) AS p90, round(median(o_totalprice), 4) AS mid FROM '{d}/orders.parquet' GROUP BY o_orderstatus",
+    "q_extract_literal": "SELECT n_nationkey, CAST(extract(year FROM DATE '2020-01-01') AS BIGINT) AS y, CAST(extract(month FROM o_orderdate) AS BIGINT) AS m, trim(BOTH 'x' FROM 'xax') AS t FROM '{d}/nation.parquet', '{d}/orders.parquet' WHERE n_nationkey = o_orderkey",
+    "q_comma_list": "SELECT r.r_name, n.n_name FROM '{d}/region.parquet' r, '{d}/nation.parquet' AS n WHERE r.r_regionkey = n.n_regionkey AND r.r_name IN ('ASIA', 'EUROPE')",
+    "q_nested_from": "SELECT a, n FROM (SELECT n_regionkey AS a, count(*) AS n FROM '{d}/nation.parquet' WHERE n_name <> 'from' GROUP BY 1) WHERE a IN (SELECT r_regionkey FROM '{d}/region.parquet')",
     "set_union_all": "SELECT c_nationkey AS k FROM '{d}/customer.parquet' UNION ALL SELECT s_nationkey AS k FROM '{d}/supplier.parquet'",
     "set_union": "SELECT c_nationkey AS k FROM '{d}/customer.parquet' UNION SELECT s_nationkey AS k FROM '{d}/supplier.parquet'",
     "set_intersect": "SELECT c_custkey AS k FROM '{d}/customer.parquet' INTERSECT SELECT o_custkey AS k FROM '{d}/orders.parquet'",
@@ -115,6 +122,36 @@ for _name, _text in {
     sql_query(_name, _text)
 
 
+# joins by a strategy the user names
+for _hint in ("BROADCAST(n)", "MERGE(n)", "SHUFFLE_HASH(n)", "SHUFFLE_REPLICATE_NL(n)"):
+    sql_query(f"join_hint_{_hint.split('(')[0].lower()}", f"SELECT /*+ {_hint} */ c_custkey, n_name FROM '{{d}}/customer.parquet' c JOIN '{{d}}/nation.parquet' n ON c_nationkey = n_nationkey", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+
+steps("fn_map", "nation", [], "SELECT n_nationkey, CAST(1 AS BIGINT) AS size, n_name AS a, CAST(NULL AS VARCHAR) AS b, 'k' || n_regionkey AS keys FROM nation", {"n_nationkey": "n_nationkey", "size": "CAST(size(map(concat('k', n_regionkey), n_name)) AS bigint)", "a": "element_at(map(concat('k', n_regionkey), n_name), concat('k', n_regionkey))", "b": "try_element_at(map('x', n_name), 'y')", "keys": "array_join(map_keys(map(concat('k', n_regionkey), n_name)), ',')"})
+steps("fn_concat_null", "orders", [], "SELECT o_orderkey, concat(nullif(o_orderstatus, 'F'), '-', o_orderpriority) AS a FROM orders", {"o_orderkey": "o_orderkey", "a": "concat(nullif(o_orderstatus, 'F'), '-', o_orderpriority)"})
+
+
+@register("q_read_csv_options", "SELECT n_nationkey, n_name, nullif(n_regionkey, 3) AS n_regionkey FROM nation WHERE n_nationkey > 4")
+def _(spark, d):
+    where = scratch(spark, "csv")
+    t(spark, d, "nation").selectExpr("n_nationkey", "n_name", "if(n_regionkey = 3, 'none', CAST(n_regionkey AS string)) AS n_regionkey").coalesce(1).write.csv(where, header=True, sep="|")
+    return query.run(spark, f"SELECT n_nationkey, n_name, n_regionkey FROM read_csv('{where}', delim='|', nullstr = 'none', header=true) WHERE n_nationkey > 4")
+
+
+@register("scan_partitioned", "SELECT c_custkey, c_acctbal, c_mktsegment AS seg, c_nationkey % 3 AS part FROM customer")
+def _(spark, d):
+    where = scratch(spark, "partitioned")
+    t(spark, d, "customer").selectExpr("c_custkey", "c_acctbal", "c_mktsegment AS seg", "CAST(c_nationkey % 3 AS int) AS part").write.partitionBy("seg", "part").parquet(where)
+    return read_parquet(spark, where)
+
+
+@register("scan_mixed_schemas", "SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_totalprice AS DOUBLE) AS v, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS extra FROM orders")
+def _(spark, d):
+    where, o = scratch(spark, "mixed"), t(spark, d, "orders")
+    o.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey AS k", "o_totalprice AS v").write.mode("append").parquet(where)
+    o.filter("o_orderkey % 2 = 1").selectExpr("CAST(o_orderkey AS string) AS n", "o_orderkey AS K", "CAST(o_totalprice AS decimal(20, 2)) AS v", "o_orderstatus AS extra").drop("n").write.mode("append").parquet(where)
+    return read_parquet(spark, where).select("k", F.col("v").cast("double"), "extra")
+
+
 @register("agg_approx_distinct")
 def _(spark, d):
     return t(spark, d, "orders").agg(F.approx_count_distinct("o_custkey").alias("n"))
@@ -133,6 +170,21 @@ def _(spark, d):
     return joins.in_ranges(t(spark, d, "part"), ranges, "p_partkey", "low", "high", 64).select("p_partkey", "s_suppkey")
 
 
+@register("join_range_fractional", "SELECT l_orderkey, l_linenumber, s_suppkey FROM lineitem JOIN supplier ON l_extendedprice / 1000 >= s_suppkey + 0.9 AND l_extendedprice / 1000 < s_suppkey + 1.5 WHERE s_suppkey % 7 <> 0")
+def _(spark, d):
+    ranges = t(spark, d, "supplier").selectExpr("s_suppkey", "CAST(s_suppkey + 0.9 AS double) AS low", "CAST(if(s_suppkey % 7 = 0, s_suppkey, s_suppkey + 1.5) AS double) AS high")
+    points = t(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "CAST(l_extendedprice / 1000 AS double) AS x")
+    return joins.in_ranges(points, ranges, "x", "low", "high", 64).select("l_orderkey", "l_linenumber", "s_suppkey")
+
+
+@register("join_asof_nulls", "SELECT e.event_id, CASE WHEN e.event_id % 5 <> 0 THEN (SELECT max_by(p.event_id, (p.ts, p.event_id)) FROM events p WHERE p.event_type = 'purchase' AND p.event_id % 3 <> 0 AND p.user_id = e.user_id AND p.ts <= e.ts) END AS last_id FROM events e WHERE e.event_type = 'click'")
+def _(spark, d):
+    e = t(spark, d, "events")
+    bought = e.filter("event_type = 'purchase'").selectExpr("user_id", "if(event_id % 3 = 0, NULL, ts) AS ts", "event_id").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_id"))
+    clicks = e.filter("event_type = 'click'").selectExpr("event_id", "user_id", "if(event_id % 5 = 0, NULL, ts) AS ts")
+    return joins.asof(clicks, bought, ["user_id"], "ts", ["last_id"]).select("event_id", "last_id")
+
+
 # gate
 RULES = [gate.Rule("priority", "not_null"), gate.Rule("o_custkey", "unique"), gate.Rule("o_totalprice", "min", 1000), gate.Rule("o_totalprice", "max", 300000)]
 
@@ -177,6 +229,13 @@ def _(spark, d):
     return keyed.upserted(c, c.filter("c_custkey % 3 = 0").selectExpr("c_custkey", "c_acctbal + 1 AS c_acctbal"), ["c_custkey"])
 
 
+@register("inc_by_key_precedence", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey % 4 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, o_totalprice DESC) = 1 UNION ALL SELECT c_custkey, CAST(NULL AS BIGINT), c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 4 = 0)")
+def _(spark, d):
+    old = t(spark, d, "customer").selectExpr("c_custkey AS o_custkey", "CAST(NULL AS bigint) AS o_orderkey", "c_acctbal AS o_totalprice")
+    new = keyed.settled(t(spark, d, "orders").filter("o_custkey % 4 = 0").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"])
+    return keyed.upserted(old, new, ["o_custkey"])
+
+
 @register("cdc_current_state", "SELECT user_id, event_id, value FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'click'")
 def _(spark, d):
     e = t(spark, d, "events").selectExpr("CAST(event_id AS string) AS event_id", "event_id AS sequence", "CASE event_type WHEN 'click' THEN 'D' WHEN 'view' THEN 'I' ELSE 'U' END AS op", "struct(user_id) AS key", "struct(user_id, event_id, value) AS payload")

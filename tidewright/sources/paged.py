@@ -1,10 +1,14 @@
-"""Paged record sources over an injected transport: ``transport(params or url) -> (records envelope, headers)``."""
+"""Paged record sources over an injected transport: ``transport(params[, body]) -> (records envelope, headers[, status])``.
+
+With a ``body`` requests are POSTs. A status of 429 or 503 is tried again after the time that Retry-After names."""
 
 from __future__ import annotations
 
 import re
 import time
 from collections.abc import Callable, Iterable, Iterator
+from datetime import datetime, timezone
+from email.utils import parsedate_to_datetime
 
 from tidewright.errors import SpecError
 
@@ -24,6 +28,21 @@ def next_link(headers: dict) -> str | None:
     return m[1] if m else None
 
 
+def retry_after(headers: dict, default: float = 1.0) -> float:
+    """Seconds that a Retry-After header names, as a number or a date."""
+    text = next((v for k, v in headers.items() if k.lower() == "retry-after"), None)
+    if text is None:
+        return default
+    try:
+        return max(0.0, float(text))
+    except ValueError:
+        pass
+    try:
+        return max(0.0, (parsedate_to_datetime(text) - datetime.now(timezone.utc)).total_seconds())
+    except ValueError:
+        return default
+
+
 class TokenBucket:
     """At most ``rate`` calls a second, ``burst`` at once; ``penalty`` waits out a Retry-After."""
 
@@ -48,7 +67,7 @@ class TokenBucket:
 class Paged:
     """Units and records of one endpoint in mode offset, page, cursor or link."""
 
-    def __init__(self, transport: Callable, mode: str, size: int = 100, start: int = 1, record_path: str | None = None, cursor_path: str | None = None, stop_on: str = "short_page", query: dict | None = None, bucket: TokenBucket | None = None):
+    def __init__(self, transport: Callable, mode: str, size: int = 100, start: int = 1, record_path: str | None = None, cursor_path: str | None = None, stop_on: str = "short_page", query: dict | None = None, bucket: TokenBucket | None = None, body: dict | None = None, tries: int = 5, sleep: Callable = time.sleep):
         if mode not in ("offset", "page", "cursor", "link") or stop_on not in ("short_page", "empty_page"):
             raise SpecError(f"unknown mode {mode} or rule {stop_on}")
         if mode == "cursor" and not cursor_path:
@@ -56,6 +75,20 @@ class Paged:
         if clash := set(query or {}) & {"offset", "limit", "page", "per_page", "cursor"}:
             raise SpecError(f"query may not set {sorted(clash)}")
         self.transport, self.mode, self.size, self.start, self.record_path, self.cursor_path, self.stop_on, self.query, self.bucket = transport, mode, size, start, record_path, cursor_path, stop_on, query or {}, bucket
+        self.body, self.tries, self.sleep = body, tries, sleep
+
+    def ask(self, params: dict) -> tuple:
+        for k in range(self.tries):
+            if self.bucket:
+                self.bucket.take()
+            body, headers, *status = self.transport(params) if self.body is None else self.transport(params, self.body)
+            if not status or status[0] not in (429, 503):
+                if status and status[0] >= 400:
+                    raise ConnectionError(f"status {status[0]}")
+                return body, headers
+            if k + 1 < self.tries:
+                (self.bucket.penalty if self.bucket else self.sleep)(retry_after(headers))
+        raise ConnectionError(f"status {status[0]}")
 
     def pages(self, cursor=None) -> Iterator[tuple[str, list[dict], object]]:
         """(unit key, records, next cursor); the cursor is EXHAUSTED behind the last page."""
@@ -71,9 +104,7 @@ class Paged:
                 params, key = ({} if cursor is None else {"cursor": cursor}), f"cursor={'' if cursor is None else cursor}"
             else:
                 params, key = ({"url": url} if url else {}), f"link={url or 'first'}"
-            if self.bucket:
-                self.bucket.take()
-            body, headers = self.transport({**self.query, **params})
+            body, headers = self.ask({**self.query, **params})
             records = at_path(body, self.record_path) if self.record_path else body
             if not isinstance(records, list):
                 raise SpecError(f"no list of records at {self.record_path!r}")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,31 +57,63 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 
 def parquet_files(spark: SparkSession, path: str) -> list[str]:
     """All Parquet files below a path, by Spark's own file systems."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    return [f for f, _ in parquet_status(spark, path)]
+
+
+def parquet_status(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """The files with a signature of their size and time."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(where):
         raise DataError(f"{path} does not exist")
-    if fs.getFileStatus(where).isFile():
-        return [path]
+    mark = lambda s: f"{s.getLen()}:{s.getModificationTime()}"
+    top = fs.getFileStatus(where)
+    if top.isFile():
+        return [(path, mark(top))]
     found, it = [], fs.listFiles(where, True)
+    root = top.getPath().toString()
     while it.hasNext():
-        p = it.next().getPath()
-        parts = p.toString()[len(where.toString()) :].split("/")
+        status = it.next()
+        p = status.getPath()
+        parts = p.toString()[len(root) :].split("/")
         if p.getName().endswith(".parquet") and not any(x[:1] in ("_", ".") for x in parts if x):
-            found.append(p.toString())
+            found.append((p.toString(), mark(status)))
     return sorted(found)
 
 
+#: Files whose footers are read one by one when they cannot be merged.
+_FEW = 64
+
+
+def _schemas(read, files: list[str]) -> list[tuple[list[str], T.StructType]]:
+    """Groups of files with a schema that fits all of a group. One distributed job reads the footers of files that agree on the
+    type of each column; where they do not, halves are tried, and at last file by file."""
+    try:
+        return [(files, read().option("mergeSchema", True).parquet(*files).schema)]
+    except (PySparkException, Py4JJavaError):
+        if len(files) == 1:
+            raise
+    if len(files) <= _FEW:
+        with ThreadPoolExecutor(8) as pool:
+            return [([f], s) for f, s in zip(files, pool.map(lambda f: read().parquet(f).schema, files), strict=True)]
+    half = len(files) // 2
+    return _schemas(read, files[:half]) + _schemas(read, files[half:])
+
+
 def read_parquet(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
-    """One scan per footer schema, so that files that agree are read together."""
+    """One scan per schema, so that files that agree are read together. Folders ``k=v`` below ``path`` give columns."""
     files = parquet_files(spark, path) if files is None else files
     if not files:
         raise DataError(f"no Parquet files in {path}")
-    groups: dict[str, list[str]] = defaultdict(list)
+    parts = any("=" in x for f in files for x in f[f.find(path.rstrip("/")) + len(path.rstrip("/")) :].split("/")[:-1])
+
+    def read():
+        return spark.read.option("basePath", path) if parts else spark.read
+
     if len(files) == 1:
-        return spark.read.parquet(files[0])
-    for f in files:
-        groups[spark.read.parquet(f).schema.json()].append(f)
-    frames = [spark.read.schema(T.StructType.fromJson(json.loads(k))).parquet(*v) for k, v in groups.items()]
+        return read().parquet(files[0])
+    groups: dict[str, list[str]] = defaultdict(list)
+    for some, schema in _schemas(read, files):
+        groups[schema.json()] += some
+    frames = [read().schema(T.StructType.fromJson(json.loads(k))).parquet(*v) for k, v in groups.items()]
     return frames[0] if len(frames) == 1 else union_by_name(frames)

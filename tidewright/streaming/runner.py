@@ -135,10 +135,25 @@ def table_cursor(*_):
 
 
 def structured(df: DataFrame, stream: Stream, checkpoint: str, **trigger):
-    """The same write rules under Structured Streaming: ``foreachBatch`` under the engine's own offsets."""
+    """The same rules for late rows, checks, sinks and hooks under Structured Streaming: ``foreachBatch`` under the engine's own
+    offsets. The watermark before each epoch is kept by epoch, so an epoch that runs again has the same late rows."""
 
     def write(rows: DataFrame, epoch: int) -> None:
-        good = _ruled(stream, rows, f"epoch-{epoch:012d}")
-        publish.write_unit(good, stream.output, f"epoch-{epoch:012d}")
+        bid = f"epoch-{epoch:012d}"
+        store = Store(os.path.join(stream.state, f"{stream.name}.db"))
+        rows = rows.persist()
+        try:
+            mark = store.meta(f"watermark:{stream.name}:{epoch}")
+            good, late, after, n_late = _timed(stream, rows, None if mark in (None, "") else float(mark))
+            good = _ruled(stream, good, bid)
+            (stream.sink or (lambda d, b: publish.write_unit(d, stream.output, b)))(good, bid)
+            if n_late and stream.on_late == "quarantine":
+                publish.write_unit(late, os.path.join(stream.state, "late", stream.name), bid)
+            stream.after_write(bid)
+            store.meta(f"watermark:{stream.name}:{epoch + 1}", "" if after is None else repr(after))
+        finally:
+            rows.unpersist()
+            store.con.close()
 
+    os.makedirs(stream.state, exist_ok=True)
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
