@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WordHash, blocks, mixed, small_batches, table, written
+from tidewright.llm.common import WordHash, blocks, mixed, removed, small_batches, table, written
 from tidewright.llm.graph import components
 from tidewright.llm.shingles import shingle_sets, signatures
 
@@ -201,8 +201,10 @@ def _pairs_confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
 def _last_round(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components that share a key: all there are between lone classes, one or none for each visitor."""
-    large = written(comp.groupBy(F.col("comp").alias("g")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "large")
-    m = members.join(large, F.col("comp") == F.col("g"), "left").withColumn("size", F.coalesce("size", F.lit(1))).drop("g")
+    # sizes meet the classes, one row each, and not their keys: a large component then makes no large task
+    large = comp.groupBy(F.col("comp").alias("g")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sized = written(comp.join(large, F.col("comp") == F.col("g")).select("node", "comp", "size"), "sizes")
+    m = members.join(sized, F.col("cid") == F.col("node"), "left").withColumns({"comp": F.coalesce("comp", "cid"), "size": F.coalesce("size", F.lit(1))}).drop("node")
     m = written(m, "sized")
     alone = m.filter("size = 1").drop("size")
     per_key = alone.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("lone"), F.min("cid").alias("hub")).filter("lone > 1")
@@ -244,7 +246,7 @@ def _grouped(docs: DataFrame, key: str, text: str, width: int, percent: int, by_
     classes = written(classes, "classes")
     keys = written(classes.select("cid", "symbols").mapInArrow(_keys, "key long, cid long"), "keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("k"), "c")
-    members = written(keys.join(shared, F.col("key") == F.col("k")).select("key", "cid", "c"), "shared")
+    shared_keys = members = written(keys.join(shared, F.col("key") == F.col("k")).select("key", "cid", "c"), "shared")
     # how many others a class meets over all its keys: the middle of a group of copies meets most
     meets = members.groupBy(F.col("cid").alias("m")).agg(F.sum("c").alias("meets"))
     info = classes.select(F.col("cid").alias("c"), "n", *_BITS).join(meets, F.col("c") == F.col("m")).drop("m")
@@ -264,20 +266,24 @@ def _grouped(docs: DataFrame, key: str, text: str, width: int, percent: int, by_
     links = written(links.distinct(), "confirmed")
     comp = written(components(links), "components")
     for k in range(STARS + 1):
-        with_comp = members.join(comp, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", *_BITS, "meets", F.coalesce("comp", "cid").alias("comp"))
         if k < STARS:
+            with_comp = members.join(comp, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", *_BITS, "meets", F.coalesce("comp", "cid").alias("comp"))
             with_comp = written(with_comp, "members")
             heads = with_comp.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct((F.xxhash64("cid", F.lit(k)) if k else -F.col("meets")).alias("h"), "cid", "n", *_BITS, "comp")).alias("head")).filter("x <> y")
             a, b = with_comp.alias("a"), heads.select("k", "head.cid", "head.n", *[f"head.{x}" for x in _BITS], "head.comp").alias("b")
             pairs = a.join(b, (F.col("a.key") == F.col("b.k")) & (F.col("a.comp") != F.col("b.comp")) & _may_link("a", "b", percent))
             found = written(_pairs_confirmed(pairs, sets, percent), "confirmed")
+            removed(with_comp)
         else:
-            found = written(_last_round(with_comp, comp, sets, percent), "confirmed")
+            found = written(_last_round(members, comp, sets, percent), "confirmed")
         if found.isEmpty():
             continue
         # what was merged before, and the new links between its components
         old = comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))
-        comp = written(components(old.unionByName(found)), "components")
+        comp, before = written(components(old.unionByName(found)), "components"), comp
+        removed(found, before)
+    # what follows reads only the classes of the rows and their components
+    removed(classes, keys, shared_keys, members, sets, links)
 
     return each.join(comp, F.col("cid") == F.col("node"), "left").select("doc_id", "h", "n", F.coalesce("comp", "cid").alias("comp"))
 
