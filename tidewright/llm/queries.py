@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewright.llm import chat, licences, minhash, mixing, packing, quality_cnn, quality_rules, records, subspace, suffix_tree
+from tidewright.llm import bpe, chat, licences, minhash, mixing, packing, quality_cnn, quality_rules, records, subspace, suffix_tree
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash": minhash.op8,
     "op9_chat": chat.op9,
     "op10_quality_rules": quality_rules.op10,
+    "op12_bpe": bpe.op12,
 }
 SQL = {
     "op5_subspace_join": subspace.OP5_SQL,
