@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.errors import DataError
+from tidewright.plans.compile import first_of, free, q
 from tidewright.sources.union import union_by_name
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key by ``order``; null keys are one key."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last())
-    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    return first_of(df, Window.partitionBy(*map(q, keys)).orderBy(q(order).desc_nulls_last()))
 
 
 def settled(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,19 +22,16 @@ def settled(df: DataFrame, keys: list[str]) -> DataFrame:
     their JSON form."""
     others = [F.to_json(F.col(f"`{f.name}`")) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema if f.name not in keys]
     order = [c.desc_nulls_last() for c in others] or [F.lit(1)]
-    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    return first_of(df, Window.partitionBy(*map(q, keys)).orderBy(*order))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """``old`` without the keys of ``new``, and ``new``; in ``new`` the last row of a key by ``order`` wins."""
     if order:
         new = last_per_key(new, keys, order)
-    fresh = new.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
+    inner = free({*old.columns}, *[f"k{i}" for i in range(len(keys))])
+    fresh = new.select(*[q(k).alias(n) for k, n in zip(keys, inner, strict=True)]).distinct()
+    on = reduce(lambda a, b: a & b, [q(k).eqNullSafe(q(n)) for k, n in zip(keys, inner, strict=True)])
     return union_by_name([old.join(fresh, on, "left_anti"), new])
 
 
@@ -63,11 +62,9 @@ def applied(table: DataFrame | None, ledger: DataFrame | None, events: DataFrame
     top = events.groupBy(*[F.col(f"key.{k}").alias(k) for k in keys]).agg(F.max_by(F.struct("op", "payload"), "sequence").alias("_e"))
     rows = top.filter("_e.op <> 'D'").select("_e.payload.*")
     if table is not None:
-        touched = top.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
-        on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
+        inner = free({*table.columns}, *[f"k{i}" for i in range(len(keys))])
+        touched = top.select(*[q(k).alias(n) for k, n in zip(keys, inner, strict=True)])
+        cond = reduce(lambda a, b: a & b, [q(k).eqNullSafe(q(n)) for k, n in zip(keys, inner, strict=True)])
         rows = union_by_name([table.join(touched, cond, "left_anti"), rows])
     return rows, (marks if ledger is None else ledger.unionByName(marks))
 

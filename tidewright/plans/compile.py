@@ -21,6 +21,15 @@ def q(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def free(taken: set[str], *names: str) -> list[str]:
+    """Names for inner columns that meet none of ``taken``, however those are called."""
+    low = {t.lower() for t in taken}
+    mark = "\x00"
+    while any(t.startswith(mark) for t in low):
+        mark += "\x00"
+    return [mark + n for n in names]
+
+
 def known(df: DataFrame, names) -> None:
     have = {c.lower() for c in df.columns}
     if missing := [n for n in names if n.lower() not in have]:
@@ -66,10 +75,17 @@ def ordering(text: str) -> Column:
     return (c.desc_nulls_first() if first else c.desc_nulls_last()) if down else (c.asc_nulls_first() if first else c.asc_nulls_last())
 
 
-def apply_step(df: DataFrame, step: Step) -> DataFrame:
+def first_of(df: DataFrame, window) -> DataFrame:
+    """The first row of each partition of the window."""
+    (rank,) = free({*df.columns}, "rank")
+    return df.select("*", F.row_number().over(window).alias(rank)).filter(q(rank) == 1).drop(rank)
+
+
+def apply_step(df: DataFrame, step: Step, carry: tuple = ()) -> DataFrame:
+    """``carry`` names columns that go through the step beside its own; rows that differ in them are no duplicates."""
     kind, body = step.kind, step.body
     if kind == "map":
-        return df.select(*[F.expr(to_spark(e)).alias(n) for n, e in body.items()])
+        return df.select(*[F.expr(to_spark(e)).alias(n) for n, e in body.items()], *map(q, carry))
     if kind == "filter":
         return df.filter(F.expr(f"({to_spark(body)})"))
     if kind == "rename":
@@ -91,15 +107,17 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
     if kind == "dedup":
         keys = body["keys"] if isinstance(body, dict) else body
         known(df, keys)
+        keys = [*keys, *carry]
         order = body.get("order_by") if isinstance(body, dict) else None
         if not order:
             return df.dropDuplicates(keys)
-        w = Window.partitionBy(*map(q, keys)).orderBy(*map(ordering, order))
-        return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+        return first_of(df, Window.partitionBy(*map(q, keys)).orderBy(*map(ordering, order)))
     if kind == "select":
         known(df, body)
-        return df.select(*map(q, body))
+        return df.select(*map(q, body), *map(q, carry))
     if kind == "sql":
+        if carry:
+            raise SpecError("a statement over all rows cannot carry columns")
         return df.sparkSession.sql(to_spark(body).replace("{input}", "{_input}"), _input=df)
     if kind == "python":
         known(df, body.get("args", []))
@@ -116,11 +134,11 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
     raise SpecError(f"unknown step {kind}")
 
 
-def build(df: DataFrame, plan: Plan | list) -> DataFrame:
+def build(df: DataFrame, plan: Plan | list, carry: tuple = ()) -> DataFrame:
     """The transformed DataFrame. Nothing runs until it is used."""
     for step in plan.steps if isinstance(plan, Plan) else plan:
         if not isinstance(step, Step):
             step = Step(*next(iter(step.items())))
             step.check()
-        df = apply_step(df, step)
+        df = apply_step(df, step, carry)
     return df

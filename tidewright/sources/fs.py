@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -70,3 +71,36 @@ class Files:
             how = self.jvm.java.lang.reflect.Array.newInstance(files.Options.Rename.OVERWRITE.getClass(), 1)
             how[0] = files.Options.Rename.OVERWRITE
             files.FileContext.getFileContext(self._at(tmp).toUri(), self.conf).rename(self._at(tmp), self._at(path), how)
+
+    def create(self, path: str, text: str) -> bool:
+        """Makes a small file unless there is one; of several writers at once one alone gets True. Local and HDFS-like systems
+        put it in place whole, by a link or a rename that does not overwrite; others by creation that does not overwrite, which
+        must be atomic there (as in object stores with conditional writes)."""
+        tmp = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+        if self.local:
+            tmp, path = self.plain(tmp), self.plain(path)
+            with open(tmp, "w", encoding="utf-8") as f:
+                f.write(text)
+            try:
+                os.link(tmp, path)
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(tmp)
+            return True
+        renames = self.fs.getScheme() in ("hdfs", "viewfs")
+        try:
+            stream = self.fs.create(self._at(tmp if renames else path), False)
+            stream.write(bytearray(text.encode()))
+            stream.close()
+            if renames:
+                files = self.jvm.org.apache.hadoop.fs
+                how = self.jvm.java.lang.reflect.Array.newInstance(files.Options.Rename.NONE.getClass(), 0)
+                files.FileContext.getFileContext(self._at(tmp).toUri(), self.conf).rename(self._at(tmp), self._at(path), how)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception):
+                raise
+            if renames:
+                self.remove(tmp)
+            return False
+        return True

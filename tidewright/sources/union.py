@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
+import re
 from collections import defaultdict
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import quote
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,27 +87,92 @@ def parquet_status(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return sorted(found)
 
 
-#: Files whose footers are read one by one when they cannot be merged.
-_FEW = 64
+#: Files whose footers the driver reads itself; those of more are read on executors.
+_FEW = 16
+#: Files that are read one by one where their store is open to Spark alone and their schemas cannot be merged.
+_ALONE = 64
+_SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"
 
 
-def _schemas(read, files: list[str]) -> list[tuple[list[str], T.StructType]]:
-    """Groups of files with a schema that fits all of a group. One distributed job reads the footers of files that agree on the
-    type of each column; where they do not, halves are tried, and at last file by file."""
+def footer(path: str) -> tuple[str, str | None] | None:
+    """A digest of a Parquet file's schema, and its schema as Spark wrote it; None where the file cannot be opened from here."""
+    from pyarrow import ArrowException, fs
+    from pyarrow import parquet as pq
+
+    try:
+        if m := re.match(r"(?:file:(?://)?)?(/.*)", path):
+            store, place = fs.LocalFileSystem(), m[1]
+        else:
+            store, place = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+        with store.open_input_file(place) as f:
+            found = pq.ParquetFile(f).metadata
+    except (OSError, ArrowException, ImportError):
+        return None
+    own = (found.metadata or {}).get(_SPARK_SCHEMA)
+    shape = found.schema.to_arrow_schema().to_string(show_field_metadata=False, show_schema_metadata=False)
+    return hashlib.sha256(shape.encode() + (own or b"")).hexdigest()[:24], own and own.decode()
+
+
+def _footers(spark: SparkSession, files: list[str]) -> dict[str, tuple[list[str], str | None]] | None:
+    """Files by the digest of their schema, in one job over all paths; None where a store is open to Spark alone. Each task tells a
+    schema once."""
+    if len(files) <= _FEW:
+        with ThreadPoolExecutor(8) as pool:
+            rows = [(i, *(x or (None, None))) for i, x in enumerate(pool.map(footer, files))]
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = set()
+            for batch in batches:
+                with ThreadPoolExecutor(8) as pool:
+                    got = [x or (None, None) for x in pool.map(footer, batch.column(1).to_pylist())]
+                own = [s if d not in known and not known.add(d) else None for d, s in got]
+                yield pa.record_batch([batch.column(0), pa.array([d for d, _ in got], pa.string()), pa.array(own, pa.string())], names=["i", "digest", "own"])
+
+        parts = min(math.ceil(len(files) / 50), 8 * spark.sparkContext.defaultParallelism)
+        paths = spark.createDataFrame(pa.table({"i": range(len(files)), "path": files})).repartition(parts)
+        rows = paths.mapInArrow(run, "i long, digest string, own string").collect()
+    out: dict[str, tuple[list[str], str | None]] = {}
+    for i, digest, own in sorted(rows, key=lambda r: r[0]):
+        if digest is None:
+            return None
+        some, known = out.get(digest, ([], None))
+        some.append(files[i])
+        out[digest] = some, known or own
+    return out
+
+
+def _schemas(spark: SparkSession, read, files: list[str]) -> list[tuple[list[str], T.StructType]]:
+    """Groups of files with a schema that fits all of a group."""
+    found = _footers(spark, files)
+    if found is None:
+        return _merged_schemas(read, files)
+    return [(some, T.StructType.fromJson(json.loads(own)) if own else read().parquet(some[0]).schema) for some, own in found.values()]
+
+
+def _merged_schemas(read, files: list[str]) -> list[tuple[list[str], T.StructType]]:
+    """The same by Spark's own merging: one distributed job where files agree; where they do not, halves, and at last file by file."""
     try:
         return [(files, read().option("mergeSchema", True).parquet(*files).schema)]
     except (PySparkException, Py4JJavaError):
         if len(files) == 1:
             raise
-    if len(files) <= _FEW:
+    if len(files) <= _ALONE:
         with ThreadPoolExecutor(8) as pool:
             return [([f], s) for f, s in zip(files, pool.map(lambda f: read().parquet(f).schema, files), strict=True)]
     half = len(files) // 2
-    return _schemas(read, files[:half]) + _schemas(read, files[half:])
+    return _merged_schemas(read, files[:half]) + _merged_schemas(read, files[half:])
 
 
-def read_parquet(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
-    """One scan per schema, so that files that agree are read together. Folders ``k=v`` below ``path`` give columns."""
+def path_of_file() -> Column:
+    """The path, without its store, of the file a row of a scan comes from."""
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(whole, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+
+
+def read_parquet(spark: SparkSession, path: str, files: list[str] | None = None, tag: str | None = None) -> DataFrame:
+    """One scan per schema, so that files that agree are read together. Folders ``k=v`` below ``path`` give columns. A column
+    ``tag``, if asked for, has each row's file."""
     files = parquet_files(spark, path) if files is None else files
     if not files:
         raise DataError(f"no Parquet files in {path}")
@@ -110,10 +181,16 @@ def read_parquet(spark: SparkSession, path: str, files: list[str] | None = None)
     def read():
         return spark.read.option("basePath", path) if parts else spark.read
 
+    def tagged(df: DataFrame) -> DataFrame:
+        return df.select("*", path_of_file().alias(tag)) if tag else df
+
     if len(files) == 1:
-        return read().parquet(files[0])
+        return tagged(read().parquet(files[0]))
     groups: dict[str, list[str]] = defaultdict(list)
-    for some, schema in _schemas(read, files):
+    for some, schema in _schemas(spark, read, files):
         groups[schema.json()] += some
-    frames = [read().schema(T.StructType.fromJson(json.loads(k))).parquet(*v) for k, v in groups.items()]
-    return frames[0] if len(frames) == 1 else union_by_name(frames)
+    frames = [tagged(read().schema(T.StructType.fromJson(json.loads(k))).parquet(*v)) for k, v in groups.items()]
+    if len(frames) == 1:
+        return frames[0]
+    both = union_by_name(frames)
+    return both.select(*[F.col(f"`{c}`") for c in both.columns if c != tag], *([F.col(f"`{tag}`")] if tag else []))
