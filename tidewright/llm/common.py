@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -51,6 +54,26 @@ def removed(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def lean(run):
+    """A task's function whose large arrays go back to the machine when they are freed, and all else when the task ends; a worker
+    that serves many tasks would keep them otherwise."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        libc = None
+        with contextlib.suppress(OSError, AttributeError):
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 1 << 20)  # arrays from 1 MB on are mapped on their own
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 @contextmanager
 def freed_shuffles(spark: SparkSession):
     """Shuffle files of queries that end in this block go as each ends, instead of when the driver's heap is next collected.
