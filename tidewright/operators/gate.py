@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,23 +36,28 @@ class Rule:
 
     def row(self, df: DataFrame) -> Column:
         """True for rows that break the rule, false for nulls where the rule ignores them."""
-        c = F.col(self.field)
+        c = F.col(f"`{self.field}`")
         if self.kind == "not_null":
             return c.isNull()
         if self.kind == "unique":
-            return F.coalesce(F.col(f"_copies_{self.field}"), F.lit(False))
+            return F.coalesce(F.col(f"`{_copies(self.field)}`"), F.lit(False))
         beyond = c < F.lit(self.limit) if self.kind == "min" else c > F.lit(self.limit)
         if isinstance(df.schema[self.field].dataType, (T.FloatType, T.DoubleType)):
             beyond = beyond & ~F.isnan(c)
         return F.coalesce(beyond, F.lit(False))
 
     def count(self, df: DataFrame) -> Column:
-        c = F.col(self.field)
+        c = F.col(f"`{self.field}`")
         if self.kind == "unique":
             return F.count(c) - F.count_distinct(c)
         return F.count_if(self.row(df))
 
 
+def _copies(field: str) -> str:
+    """An inner column; no file or stream has a column whose name begins like this."""
+    return f"\x00copies {field}"
+
+
 def counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row: the number of breaches of each rule."""
     for r in rules:
@@ -62,11 +68,12 @@ def counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
 def with_copies(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """``df`` with a mark on values that must be unique and are not. The values are counted with a partial aggregation and only
     those seen twice are joined; nulls, which the rule leaves alone, are dealt by row instead of meeting in one task."""
+    value, number, salt, side = ("\x00value", "\x00n", "\x00salt", "\x00side")
     for name in dict.fromkeys(r.field for r in rules if r.kind == "unique"):
-        c = F.col(f"`{name}`")
-        twice = df.filter(c.isNotNull()).groupBy(c.alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_v", F.lit(0).alias("_s"), F.lit(True).alias(f"_copies_{name}"))
-        salted = df.withColumn("_salt", F.when(c.isNotNull(), 0).otherwise((F.monotonically_increasing_id() % 1024).cast("int") + 1))
-        df = salted.join(twice, (c == F.col("_v")) & (F.col("_salt") == F.col("_s")), "left").drop("_v", "_s", "_salt")
+        c, inner = F.col(f"`{name}`"), lambda x: F.col(f"`{x}`")
+        twice = df.filter(c.isNotNull()).groupBy(c.alias(value)).agg(F.count(F.lit(1)).alias(number)).filter(inner(number) > 1).select(inner(value), F.lit(0).alias(side), F.lit(True).alias(_copies(name)))
+        salted = df.withColumn(salt, F.when(c.isNotNull(), 0).otherwise((F.monotonically_increasing_id() % 1024).cast("int") + 1))
+        df = salted.join(twice, (c == inner(value)) & (inner(salt) == inner(side)), "left").drop(value, side, salt)
     return df
 
 
@@ -75,8 +82,24 @@ def split(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
     for r in rules:
         r.check(df)
     breaks = reduce(lambda a, b: a | b, [r.row(df) for r in rules], F.lit(False))
-    marked = with_copies(df, rules).withColumn("_breaks", breaks).select(*[F.col(f"`{c}`") for c in df.columns], "_breaks")
-    return marked.filter("not _breaks").drop("_breaks"), marked.filter("_breaks").drop("_breaks")
+    marked = with_copies(df, rules).select(*[F.col(f"`{c}`") for c in df.columns], breaks.alias("\x00breaks"))
+    broken = F.col("`\x00breaks`")
+    return marked.filter(~broken).drop("\x00breaks"), marked.filter(broken).drop("\x00breaks")
+
+
+def watched(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, Callable[[], tuple[int, dict[str, int]]]]:
+    """``df`` with its rows and the breaches of its rules counted by the job that writes it, and a function that tells both once it
+    has run. Rules of unique values need a grouping of their own and are not among them."""
+    for r in rules:
+        r.check(df)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[r.count(df).cast("long").alias(r.name) for r in rules if r.kind != "unique"])
+
+    def told() -> tuple[int, dict[str, int]]:
+        got = dict(seen.get)
+        return got.pop("rows"), got
+
+    return out, told
 
 
 #: Names of Spark types as contracts write them (fixed values).

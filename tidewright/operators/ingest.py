@@ -8,6 +8,7 @@ import os
 import random
 import shutil
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewright.errors import DataError
 from tidewright.operators import gate, publish
 from tidewright.operators.state import Store, unit_id
+from tidewright.sources.fs import Files
 
 
 @dataclass
@@ -55,28 +57,37 @@ def set_aside(df: DataFrame, pipe: Pipeline, unit: str, reason: dict) -> None:
         json.dump(reason, f)
 
 
-def retry_set_aside(spark: SparkSession, pipe: Pipeline, fix: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict:
-    """Tries the units that were set aside again, after ``fix``. Rows that keep all rules are written under the unit's own retry
-    name, and only then the unit leaves the folder; a run that stops in between writes the same name again."""
+def retry_set_aside(spark: SparkSession, pipe: Pipeline, fix: Callable[[DataFrame], DataFrame] = lambda df: df, holder: str = "retry") -> dict:
+    """Tries the units that were set aside again, after ``fix``, under the pipeline's lease. Rows that keep all rules are written
+    under the unit's own retry name, and only then the unit leaves the folder; a run that stops in between writes the same name
+    again. The ledger then has the rows of the unit and of its retry."""
     where, done = os.path.join(pipe.state, "dlq", pipe.name), {"loaded": 0, "kept": 0}
     store = Store(os.path.join(pipe.state, f"{pipe.name}.db"))
-    for name in sorted(os.listdir(where)) if os.path.isdir(where) else []:
-        if not name.startswith("unit_"):
-            continue
-        uid = name.removeprefix("unit_")
-        df = fix(spark.read.parquet(os.path.join(where, name)))
-        broken = bool(pipe.rules) and any(gate.counts(df, pipe.rules).first().asDict().values())
-        if broken or (pipe.contract and gate.contract_breaches(df, pipe.contract, pipe.extra_columns)):
-            done["kept"] += 1
-            continue
-        rows = df.count()
-        (pipe.sink or (lambda d, u: publish.write_unit(d, pipe.output, u)))(df, f"{uid}-retry")
-        pipe.after_write(uid)
-        store.finish(uid, "done", rows)
-        shutil.rmtree(os.path.join(where, name))
-        with contextlib.suppress(FileNotFoundError):
-            os.unlink(os.path.join(where, f"{uid}.json"))
-        done["loaded"] += 1
+    store.acquire(pipe.name, holder)
+    try:
+        for name in sorted(os.listdir(where)) if os.path.isdir(where) else []:
+            if not name.startswith("unit_"):
+                continue
+            uid = name.removeprefix("unit_")
+            df = fix(spark.read.parquet(os.path.join(where, name)))
+            broken = bool(pipe.rules) and any(gate.counts(df, pipe.rules).first().asDict().values())
+            if broken or (pipe.contract and gate.contract_breaches(df, pipe.contract, pipe.extra_columns)):
+                done["kept"] += 1
+                continue
+            rows = df.count()
+            _sink(pipe)(df, f"{uid}-retry")
+            pipe.after_write(uid)
+            # what the unit had before its first retry, so that a retry that is done again does not count twice
+            base = int(store.meta(f"retried:{uid}") or store.loaded(uid))
+            store.meta(f"retried:{uid}", str(base))
+            store.finish(uid, "done", base + rows)
+            shutil.rmtree(os.path.join(where, name))
+            with contextlib.suppress(FileNotFoundError):
+                os.unlink(os.path.join(where, f"{uid}.json"))
+            done["loaded"] += 1
+            store.acquire(pipe.name, holder)
+    finally:
+        store.release(pipe.name, holder)
     return done
 
 
@@ -104,13 +115,7 @@ def run(spark: SparkSession, pipe: Pipeline, holder: str = "driver") -> dict:
                         checked_drift = _drift(store, pipe, df)
                     if pipe.contract and (found := gate.contract_breaches(df, pipe.contract, pipe.extra_columns)):
                         _by_policy(pipe, df, uid, found, {})
-                    good, rows = _gated(pipe, df, uid)
-                    if good is None:
-                        store.finish(uid, "quarantined", error="rules", cursor=moved)
-                        done["quarantined"] += 1
-                        continue
-                    if rows:
-                        (pipe.sink or (lambda d, u: publish.write_unit(d, pipe.output, u)))(good, uid)
+                    rows = _load(pipe, df, uid)
                 pipe.after_write(key)
                 store.finish(uid, "done", rows, ms=int(1000 * (time.monotonic() - began)), cursor=moved)
                 done["loaded"] += 1
@@ -139,22 +144,53 @@ def _by_policy(pipe: Pipeline, df: DataFrame, uid: str, found, reason: dict) ->
     raise DataError(str(found))
 
 
-def _gated(pipe: Pipeline, df: DataFrame, uid: str) -> tuple[DataFrame | None, int]:
-    if not pipe.rules:
-        return df, df.count()
+def _load(pipe: Pipeline, df: DataFrame, uid: str) -> int | None:
+    """Writes a unit by its rules; its rows, or None if it was set aside. With the sink of its own, a unit is written once, aside,
+    and counted as it is written; then it is moved to its place, or to those set aside. Only unique values, a unit that is split,
+    and a user's sink need the rows a second time."""
+    once = all(r.kind != "unique" for r in pipe.rules)
+    if pipe.sink is None and once:
+        watched, told = gate.watched(df, pipe.rules)
+        files, tmp = Files(pipe.output, df.sparkSession), f"{pipe.output}/_tmp-{uuid.uuid4().hex}"
+        files.make(pipe.output)
+        watched.write.option("compression", "zstd").parquet(tmp)
+        rows, found = told()
+        found = {k: v for k, v in found.items() if v}
+        try:
+            if not found or pipe.policy == "warn":
+                if rows:
+                    publish.put_unit(files, tmp, pipe.output, uid)
+                return rows
+            df = df.sparkSession.read.schema(df.schema).parquet(tmp)
+            return _split(pipe, df, uid, found) if pipe.policy == "split" else _by_policy(pipe, df, uid, found, {"rules": found})
+        finally:
+            files.remove(tmp)
     df = df.persist()
     try:
-        found = {k: v for k, v in gate.counts(df, pipe.rules).first().asDict().items() if v}
-        if not found or pipe.policy == "warn":
-            return df, df.count()
-        if pipe.policy == "split":
-            good, bad = gate.split(df, pipe.rules)
-            set_aside(bad, pipe, uid, {"rules": found})
-            return good, good.count()
-        _by_policy(pipe, df, uid, found, {"rules": found})
+        found = {k: v for k, v in gate.counts(df, pipe.rules).first().asDict().items() if v} if pipe.rules else {}
+        if found and pipe.policy == "split":
+            return _split(pipe, df, uid, found)
+        if found and pipe.policy != "warn":
+            return _by_policy(pipe, df, uid, found, {"rules": found})
+        rows = df.count()
+        if rows:
+            _sink(pipe)(df, uid)
+        return rows
     finally:
         df.unpersist()
-    return None, 0
+
+
+def _sink(pipe: Pipeline) -> Callable[[DataFrame, str], object]:
+    return pipe.sink or (lambda d, u: publish.write_unit(d, pipe.output, u))
+
+
+def _split(pipe: Pipeline, df: DataFrame, uid: str, found: dict) -> int:
+    good, bad = gate.split(df, pipe.rules)
+    set_aside(bad, pipe, uid, {"rules": found})
+    rows = good.count()
+    if rows:
+        _sink(pipe)(good, uid)
+    return rows
 
 
 def _drift(store: Store, pipe: Pipeline, df: DataFrame) -> bool:

@@ -14,31 +14,38 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list
     A key with very many rows is dealt by time as well if ``slices`` names a unit (day, month, ...): each slice runs for
     itself and starts from the last value of the slices before, of which there are few."""
     kind = right.select(F.struct(*values)).schema[0].dataType
-    a = left.select(F.struct(*left.columns).alias("_l"), *by, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_r"))
+    a = left.select(F.struct(*left.columns).alias("\x00l"), *by, F.col(on).alias("\x00t"), F.lit(1).alias("\x00side"), F.lit(None).cast(kind).alias("\x00r"))
     # a row without a time is before nothing
     right = right.filter(F.col(on).isNotNull())
-    b = right.select(F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), *by, F.col(on).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_r"))
+    b = right.select(F.lit(None).cast(a.schema["\x00l"].dataType).alias("\x00l"), *by, F.col(on).alias("\x00t"), F.lit(0).alias("\x00side"), F.struct(*values).alias("\x00r"))
     both = a.unionByName(b)
     keys = list(by)
     if slices:
-        both, keys = both.withColumn("_s", F.date_trunc(slices, "_t")), [*by, "_s"]
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
+        both, keys = both.withColumn("\x00s", F.date_trunc(slices, "\x00t")), [*by, "\x00s"]
+    w = Window.partitionBy(*keys).orderBy("\x00t", "\x00side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("\x00r", F.last("\x00r", ignorenulls=True).over(w)).filter(F.col("`\x00side`") == 1)
     if slices:
-        per = both.groupBy(*keys).agg(F.max_by(F.when(F.col("_side") == 0, F.col("_r")), F.when(F.col("_side") == 0, F.col("_t"))).alias("_c"))
-        run = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-        carried = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.last("_c", ignorenulls=True).over(run).alias("_c"))
+        per = both.groupBy(*keys).agg(F.max_by(F.when(F.col("\x00side") == 0, F.col("\x00r")), F.when(F.col("\x00side") == 0, F.col("\x00t"))).alias("\x00c"))
+        run = Window.partitionBy(*by).orderBy("\x00s").rowsBetween(Window.unboundedPreceding, -1)
+        carried = per.select(*[F.col(k).alias(f"\x00k{i}") for i, k in enumerate(keys)], F.last("\x00c", ignorenulls=True).over(run).alias("\x00c"))
         on_keys = F.lit(True)
         for i, k in enumerate(keys):
-            on_keys = on_keys & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        out = out.join(carried, on_keys, "left").withColumn("_r", F.coalesce("_r", "_c"))
-    return out.select("_l.*", *[F.col(f"_r.{v}").alias(f"{prefix}{v}") for v in values])
+            on_keys = on_keys & F.col(k).eqNullSafe(F.col(f"\x00k{i}"))
+        out = out.join(carried, on_keys, "left").withColumn("\x00r", F.coalesce("\x00r", "\x00c"))
+    return out.select("`\x00l`.*", *[F.col(f"`\x00r`.`{v}`").alias(f"{prefix}{v}") for v in values])
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Points with the half-open ranges they lie in, joined on buckets of ``width`` instead of by a nested loop. Empty ranges and
-    nulls match nothing; numbers may be fractional."""
-    bucket = lambda c: F.floor(F.col(c) / width).cast("bigint")
-    p = points.withColumn("_bucket", bucket(at))
-    r = ranges.filter(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    return p.join(r, "_bucket").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_bucket")
+    """Points with the half-open ranges they lie in, joined on cells instead of by a nested loop. A range goes to the level whose
+    cells, ``width`` doubled as often as needed, are as wide as itself, and so to three cells at most, however long it is; a point
+    looks into one cell of each level that is in use. Empty ranges and nulls match nothing; numbers may be fractional."""
+    level_, cell_ = "\x00level", "\x00cell"
+    size = lambda level: F.lit(float(width)) * F.pow(F.lit(2.0), level)
+    cell = lambda c, level: F.floor(F.greatest(F.lit(-4e18), F.least(F.lit(4e18), F.col(f"`{c}`").cast("double") / size(level)))).cast("bigint")
+    long = F.col(f"`{high}`").cast("double") - F.col(f"`{low}`").cast("double")
+    own = F.greatest(F.lit(0.0), F.least(F.lit(1000.0), F.ceil(F.log2(F.greatest(long / F.lit(float(width)), F.lit(1e-300)))).cast("double"))).cast("int")
+    r = ranges.filter(F.col(f"`{low}`") < F.col(f"`{high}`")).withColumn(level_, own)
+    used = [x[0] for x in r.select(level_).distinct().collect()]  # 1,001 at most
+    r = r.withColumn(cell_, F.explode(F.sequence(cell(low, F.col(level_)), cell(high, F.col(level_)))))
+    p = points.withColumn(level_, F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn(cell_, cell(at, F.col(level_)))
+    return p.join(r, [level_, cell_]).filter((F.col(f"`{at}`") >= F.col(f"`{low}`")) & (F.col(f"`{at}`") < F.col(f"`{high}`"))).drop(level_, cell_)

@@ -162,17 +162,44 @@ def walk(edges: Iterable[tuple[str, str]], start: str, direction: str = "down",
 
 
 def cycles(edges: Iterable[tuple[str, str]]) -> list[list[str]]:
-    """Groups of nodes that reach each other, single nodes with an edge to themselves included."""
-    edges = set(edges)
-    nodes = sorted({n for e in edges for n in e})
-    reach = {n: set(walk(edges, n)) for n in nodes}
-    out, seen = [], set()
-    for n in nodes:
-        group = sorted({n} | {m for m in reach[n] if n in reach[m]})
-        if n not in seen and (len(group) > 1 or (n, n) in edges):
-            out.append(group)
-        seen |= set(group)
-    return out
+    """Groups of nodes that reach each other, single nodes with an edge to themselves included. One pass in depth, in time of nodes
+    and edges: a node is the head of a group if nothing below it leads further up than itself."""
+    nxt: dict[str, list[str]] = {}
+    for a, b in sorted(set(edges)):
+        nxt.setdefault(a, []).append(b)
+        nxt.setdefault(b, [])
+    number, low, place, path, on_path, out = {}, {}, {}, [], set(), []
+    for root in nxt:
+        if root in number:
+            continue
+        todo = [(root, iter(nxt[root]))]
+        number[root] = low[root] = len(number)
+        place[root] = len(path)
+        path.append(root)
+        on_path.add(root)
+        while todo:
+            node, rest = todo[-1]
+            step = next(rest, None)
+            if step is not None:
+                if step not in number:
+                    number[step] = low[step] = len(number)
+                    place[step] = len(path)
+                    path.append(step)
+                    on_path.add(step)
+                    todo.append((step, iter(nxt[step])))
+                elif step in on_path:
+                    low[node] = min(low[node], number[step])
+                continue
+            todo.pop()
+            if todo:
+                low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+            if low[node] == number[node]:
+                group = path[place[node] :]
+                del path[place[node] :]
+                on_path.difference_update(group)
+                if len(group) > 1 or node in nxt[node]:
+                    out.append(sorted(group))
+    return sorted(out)
 
 
 def mermaid(edges: Iterable[tuple[str, str]]) -> str:

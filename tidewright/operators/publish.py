@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewright.errors import ConflictError
 from tidewright.sources.fs import Files
 
-_LOG = "_log"
+_LOG = "_versions"
 
 
 @dataclass(frozen=True)

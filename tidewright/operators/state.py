@@ -11,18 +11,56 @@ from collections.abc import Callable, Iterator
 
 from tidewright.errors import ConflictError
 
-VERSION = 1
-_TABLES = """
-CREATE TABLE IF NOT EXISTS units(unit_id TEXT PRIMARY KEY, pipeline TEXT, unit_key TEXT, status TEXT, rows INTEGER, bytes INTEGER, ms INTEGER, error TEXT, attempts INTEGER DEFAULT 0, at REAL);
-CREATE TABLE IF NOT EXISTS cursors(pipeline TEXT PRIMARY KEY, value TEXT);
-CREATE TABLE IF NOT EXISTS schemas(pipeline TEXT, at REAL, columns TEXT);
-CREATE TABLE IF NOT EXISTS lineage(pipeline TEXT, upstream TEXT, downstream TEXT, at REAL);
-CREATE TABLE IF NOT EXISTS leases(name TEXT PRIMARY KEY, holder TEXT, fence INTEGER, until REAL);
-CREATE TABLE IF NOT EXISTS checkpoints(stream TEXT PRIMARY KEY, position TEXT, generation INTEGER, watermark REAL);
-CREATE TABLE IF NOT EXISTS batches(batch_id TEXT PRIMARY KEY, stream TEXT, status TEXT, rows INTEGER, late INTEGER, error TEXT, at REAL);
-CREATE TABLE IF NOT EXISTS inputs(plan TEXT, path TEXT, signature TEXT, PRIMARY KEY(plan, path));
-CREATE TABLE IF NOT EXISTS meta(key TEXT PRIMARY KEY, value TEXT);
-"""
+#: What each version of the file adds to the one before; a step is never changed once it was released.
+STEPS = {
+    1: (
+        "CREATE TABLE IF NOT EXISTS units(unit_id TEXT PRIMARY KEY, pipeline TEXT, unit_key TEXT, status TEXT, rows INTEGER, bytes INTEGER, ms INTEGER, error TEXT, attempts INTEGER DEFAULT 0, at REAL)",
+        "CREATE TABLE IF NOT EXISTS cursors(pipeline TEXT PRIMARY KEY, value TEXT)",
+        "CREATE TABLE IF NOT EXISTS schemas(pipeline TEXT, at REAL, columns TEXT)",
+        "CREATE TABLE IF NOT EXISTS lineage(pipeline TEXT, upstream TEXT, downstream TEXT, at REAL)",
+        "CREATE TABLE IF NOT EXISTS leases(name TEXT PRIMARY KEY, holder TEXT, fence INTEGER, until REAL)",
+        "CREATE TABLE IF NOT EXISTS checkpoints(stream TEXT PRIMARY KEY, position TEXT, generation INTEGER, watermark REAL)",
+        "CREATE TABLE IF NOT EXISTS batches(batch_id TEXT PRIMARY KEY, stream TEXT, status TEXT, rows INTEGER, late INTEGER, error TEXT, at REAL)",
+        "CREATE TABLE IF NOT EXISTS inputs(plan TEXT, path TEXT, signature TEXT, PRIMARY KEY(plan, path))",
+        "CREATE TABLE IF NOT EXISTS meta(key TEXT PRIMARY KEY, value TEXT)",
+    ),
+    2: (
+        "CREATE TABLE submissions(run_id TEXT PRIMARY KEY, manifest TEXT, status TEXT, token TEXT, attempt INTEGER DEFAULT 0, handle TEXT, error TEXT, at REAL)",
+        "CREATE INDEX units_by_pipeline ON units(pipeline, status)",
+        "CREATE INDEX batches_by_stream ON batches(stream, at)",
+    ),
+}
+VERSION = max(STEPS)
+
+
+def migrated(con: sqlite3.Connection, path: str, dry_run: bool = False) -> list[int]:
+    """Brings a state file to this code's version, step by step, each in a transaction of its own; the steps it took, or would take.
+    A file with data is copied beside itself first. A newer file is refused."""
+    known = con.execute("SELECT name FROM sqlite_master WHERE type='table' AND name='meta'").fetchone()
+    row = con.execute("SELECT value FROM meta WHERE key='version'").fetchone() if known else None
+    now = int(row[0]) if row else 0
+    if now > VERSION:
+        raise ConflictError(f"state has version {now}; this code knows {VERSION}")
+    steps = [v for v in sorted(STEPS) if v > now]
+    if dry_run or not steps:
+        return steps
+    if now and path != ":memory:":
+        with contextlib.closing(sqlite3.connect(f"{path}.v{now}.bak")) as copy:
+            con.backup(copy)
+    for v in steps:
+        con.execute("BEGIN IMMEDIATE")
+        try:
+            # another process may have taken the step while this one waited
+            row = con.execute("SELECT value FROM meta WHERE key='version'").fetchone() if v > 1 or known else None
+            if not row or int(row[0]) < v:
+                for statement in STEPS[v]:
+                    con.execute(statement)
+                con.execute("INSERT OR REPLACE INTO meta VALUES('version', ?)", (str(v),))
+        except BaseException:
+            con.execute("ROLLBACK")
+            raise
+        con.execute("COMMIT")
+    return steps
 
 
 def unit_id(pipeline: str, source: str, key: str) -> str:
@@ -33,13 +71,8 @@ class Store:
     def __init__(self, path: str, clock: Callable[[], float] = time.time):
         self.con = sqlite3.connect(path, timeout=30, isolation_level=None)
         self.con.row_factory = sqlite3.Row
-        self.con.executescript(_TABLES)
         self.clock = clock
-        found = self.meta("version")
-        if found is None:
-            self.meta("version", str(VERSION))
-        elif int(found) > VERSION:
-            raise ConflictError(f"state has version {found}; this code knows {VERSION}")
+        migrated(self.con, path)
 
     @contextlib.contextmanager
     def transaction(self) -> Iterator[sqlite3.Connection]:
@@ -78,6 +111,11 @@ class Store:
         row = self.con.execute("SELECT value FROM cursors WHERE pipeline=?", (pipeline,)).fetchone()
         return row and json.loads(row[0])
 
+    def loaded(self, uid: str) -> int:
+        """Rows that a unit that is done has loaded."""
+        row = self.con.execute("SELECT rows FROM units WHERE unit_id=? AND status='done'", (uid,)).fetchone()
+        return (row and row[0]) or 0
+
     def units(self, pipeline: str) -> list[dict]:
         return [dict(r) for r in self.con.execute("SELECT * FROM units WHERE pipeline=? ORDER BY unit_key", (pipeline,))]
 
@@ -85,7 +123,8 @@ class Store:
         counts = dict(self.con.execute("SELECT status, count(*) FROM units WHERE pipeline=? GROUP BY status", (pipeline,)).fetchall())
         rows, size, ms = self.con.execute("SELECT coalesce(sum(rows),0), coalesce(sum(bytes),0), coalesce(sum(ms),0) FROM units WHERE pipeline=? AND status='done'", (pipeline,)).fetchone()
         edge = self.con.execute("SELECT upstream, downstream FROM lineage WHERE pipeline=? ORDER BY at DESC, rowid DESC LIMIT 1", (pipeline,)).fetchone()
-        return {"counts": counts, "rows": rows, "bytes": size, "ms": ms, "edge": tuple(edge) if edge else None}
+        retries, mean = self.con.execute("SELECT coalesce(sum(attempts - 1),0), avg(CASE WHEN status='done' THEN ms END) FROM units WHERE pipeline=?", (pipeline,)).fetchone()
+        return {"counts": counts, "rows": rows, "bytes": size, "ms": ms, "retries": retries, "mean_ms": mean, "edge": tuple(edge) if edge else None}
 
     def edge(self, pipeline: str, upstream: str, downstream: str) -> None:
         self.con.execute("INSERT INTO lineage VALUES(?,?,?,?)", (pipeline, upstream, downstream, self.clock()))

@@ -277,7 +277,7 @@ def _(spark, d):
     from tidewright.streaming import watermark as w
 
     e = w.with_event_time(t(spark, d, "events"), "ts", zoneless_is_utc=True)
-    return e.agg((F.max("_event_time") - w.lateness("PT1H30M")).cast("string").alias("watermark"))
+    return e.agg((F.max(F.col(f"`{w.EVENT_TIME}`")) - w.lateness("PT1H30M")).cast("string").alias("watermark"))
 
 
 @register("stream_tumbling", "SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS VARCHAR) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from tidewright.errors import DataError, SpecError
 
+#: The inner column of event times; no file or stream has a column of this name.
+EVENT_TIME = "\x00event_time"
 POLICIES = ("drop", "quarantine", "append")
 
 
@@ -23,27 +25,28 @@ def lateness(text: str) -> timedelta:
 
 
 def with_event_time(df: DataFrame, field: str, zoneless_is_utc: bool = False) -> DataFrame:
-    """``_event_time`` as an instant; times without a zone are refused unless said to be UTC."""
+    """``EVENT_TIME`` as an instant; times without a zone are refused unless said to be UTC."""
     kind = df.schema[field].dataType
     if isinstance(kind, T.TimestampType):
-        return df.withColumn("_event_time", F.col(field))
+        return df.withColumn(EVENT_TIME, F.col(f"`{field}`"))
     if isinstance(kind, T.TimestampNTZType):
         if not zoneless_is_utc:
             raise DataError(f"{field} has no time zone")
-        return df.withColumn("_event_time", F.to_utc_timestamp(F.col(field).cast("timestamp"), F.current_timezone()))
+        return df.withColumn(EVENT_TIME, F.to_utc_timestamp(F.col(f"`{field}`").cast("timestamp"), F.current_timezone()))
     if isinstance(kind, T.StringType):
-        zoned = F.col(field).rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-        if not zoneless_is_utc and not df.filter(F.col(field).isNotNull() & ~zoned).isEmpty():
+        c = F.col(f"`{field}`")
+        zoned = c.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+        if not zoneless_is_utc and not df.filter(c.isNotNull() & ~zoned).isEmpty():
             raise DataError(f"{field} has times without a zone")
-        return df.withColumn("_event_time", F.to_timestamp(F.when(zoned, F.col(field)).otherwise(F.concat(F.col(field), F.lit("Z")))))
+        return df.withColumn(EVENT_TIME, F.to_timestamp(F.when(zoned, c).otherwise(F.concat(c, F.lit("Z")))))
     raise DataError(f"{field} is no time")
 
 
 def parted(df: DataFrame, watermark, policy: str = "quarantine") -> tuple[DataFrame, DataFrame]:
-    """(rows to load, rows set aside) of a batch with ``_event_time``; the first batch (no watermark) has no late rows."""
+    """(rows to load, rows set aside) of a batch with ``EVENT_TIME``; the first batch (no watermark) has no late rows."""
     if policy not in POLICIES:
         raise SpecError(f"unknown policy {policy}")
-    late = F.lit(False) if watermark is None else F.coalesce(F.col("_event_time") < F.lit(watermark), F.lit(False))
+    late = F.lit(False) if watermark is None else F.coalesce(F.col(f"`{EVENT_TIME}`") < F.lit(watermark), F.lit(False))
     if policy == "append":
         return df, df.limit(0)
     return df.filter(~late), df.filter(late)
@@ -51,7 +54,7 @@ def parted(df: DataFrame, watermark, policy: str = "quarantine") -> tuple[DataFr
 
 def advanced(df: DataFrame, watermark, allowed: timedelta):
     """The watermark after the batch: all rows count, late ones too; it never goes back."""
-    top = df.agg(F.max("_event_time")).first()[0]
+    top = df.agg(F.max(F.col(f"`{EVENT_TIME}`"))).first()[0]
     if top is None:
         return watermark
     return max(top - allowed, watermark) if watermark is not None else top - allowed
