@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators import gate, joins, keyed, query
+from tidewright.operators import gate, joins, keyed, keyed_table, publish, query, transform
+from tidewright.operators.state import Store
 from tidewright.plans.compile import build
 from tidewright.plans.ir import from_mapping
 from tidewright.session import scratch
@@ -130,6 +131,10 @@ steps("fn_map", "nation", [], "SELECT n_nationkey, CAST(1 AS BIGINT) AS size, n_
 steps("fn_concat_null", "orders", [], "SELECT o_orderkey, concat(nullif(o_orderstatus, 'F'), '-', o_orderpriority) AS a FROM orders", {"o_orderkey": "o_orderkey", "a": "concat(nullif(o_orderstatus, 'F'), '-', o_orderpriority)"})
 
 
+sql_query("q_joined_in_parentheses", "SELECT n_name, r_name FROM ('{d}/nation.parquet' n JOIN '{d}/region.parquet' r ON n_regionkey = r_regionkey)", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+sql_query("q_list_of_files", "SELECT count(*) AS n, count(n_name) AS nations, count(r_name) AS regions FROM read_parquet(['{d}/nation.parquet', '{d}/region.parquet'])", "SELECT count(*) AS n, count(n_name) AS nations, count(r_name) AS regions FROM (SELECT n_name, NULL AS r_name FROM nation UNION ALL SELECT NULL, r_name FROM region)")
+
+
 @register("q_read_csv_options", "SELECT n_nationkey, n_name, nullif(n_regionkey, 3) AS n_regionkey FROM nation WHERE n_nationkey > 4")
 def _(spark, d):
     where = scratch(spark, "csv")
@@ -152,9 +157,19 @@ def _(spark, d):
     return read_parquet(spark, where).select("k", F.col("v").cast("double"), "extra")
 
 
-@register("agg_approx_distinct")
+@register("agg_approx_distinct", "SELECT count(DISTINCT o_custkey) > 0 AS within_5_percent FROM orders")
+def _(spark, d):
+    near, exact = F.approx_count_distinct("o_custkey", 0.01), F.count_distinct("o_custkey")
+    return t(spark, d, "orders").agg((F.abs(near - exact) <= 0.05 * exact).alias("within_5_percent"))
+
+
+@register("scan_alternating_types", "SELECT o_orderpriority, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, count(o_orderstatus) FILTER (o_orderkey % 2 = 1) AS more FROM orders GROUP BY 1")
 def _(spark, d):
-    return t(spark, d, "orders").agg(F.approx_count_distinct("o_custkey").alias("n"))
+    # forty files, every second one with a narrower key and a column less
+    where, o = scratch(spark, "alternating"), t(spark, d, "orders")
+    o.filter("o_orderkey % 2 = 0").selectExpr("CAST(o_orderkey AS int) AS k", "o_orderpriority").repartition(20).write.mode("append").parquet(where)
+    o.filter("o_orderkey % 2 = 1").selectExpr("o_orderkey AS k", "o_orderpriority", "o_orderstatus AS extra").repartition(20).write.mode("append").parquet(where)
+    return read_parquet(spark, where).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("keys"), F.count("extra").alias("more"))
 
 
 @register("join_asof", "SELECT e.event_id, (SELECT max_by(p.event_id, (p.ts, p.event_id)) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts <= e.ts) AS last_id FROM events e WHERE e.event_type = 'click'")
@@ -170,6 +185,14 @@ def _(spark, d):
     return joins.in_ranges(t(spark, d, "part"), ranges, "p_partkey", "low", "high", 64).select("p_partkey", "s_suppkey")
 
 
+@register("join_range_wide", "SELECT s_suppkey, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys FROM part JOIN supplier ON p_partkey >= s_suppkey AND p_partkey < s_suppkey + CAST(10 ** (s_suppkey % 13) AS BIGINT) GROUP BY s_suppkey")
+def _(spark, d):
+    # ranges from one to a million million wide
+    s = t(spark, d, "supplier").selectExpr("s_suppkey", "s_suppkey + CAST(power(10, s_suppkey % 13) AS bigint) AS high")
+    found = joins.in_ranges(t(spark, d, "part").select("p_partkey"), s, "p_partkey", "s_suppkey", "high", 64)
+    return found.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"))
+
+
 @register("join_range_fractional", "SELECT l_orderkey, l_linenumber, s_suppkey FROM lineitem JOIN supplier ON l_extendedprice / 1000 >= s_suppkey + 0.9 AND l_extendedprice / 1000 < s_suppkey + 1.5 WHERE s_suppkey % 7 <> 0")
 def _(spark, d):
     ranges = t(spark, d, "supplier").selectExpr("s_suppkey", "CAST(s_suppkey + 0.9 AS double) AS low", "CAST(if(s_suppkey % 7 = 0, s_suppkey, s_suppkey + 1.5) AS double) AS high")
@@ -260,6 +283,43 @@ def _(spark, d):
     return query.profile(t(spark, d, "orders"), 3)
 
 
+@register("described_columns", "SELECT 'c_custkey' AS \"column\", 'bigint' AS type, count(*) AS rows, count(*) - count(c_custkey) AS nulls, CAST(min(c_custkey) AS VARCHAR) AS low, CAST(max(c_custkey) AS VARCHAR) AS high FROM customer UNION ALL SELECT 'c_mktsegment', 'string', count(*), count(*) - count(c_mktsegment), min(c_mktsegment), max(c_mktsegment) FROM customer")
+def _(spark, d):
+    return query.described(t(spark, d, "customer").select(F.col("c_custkey").cast("bigint"), "c_mktsegment")).drop("distinct")
+
+
+# tables of many files, their versions and units
+@register("upsert_table_twice", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 2 WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(spark, d):
+    where, c = scratch(spark, "twice"), t(spark, d, "customer").select("c_custkey", "c_acctbal")
+    publish.publish(c, where)  # a plain folder; the first upsert makes it a table of files
+    for by, more in ((3, 1), (5, 2)):
+        publish.upsert_table(c.filter(f"c_custkey % {by} = 0").selectExpr("c_custkey", f"c_acctbal + {more} AS c_acctbal"), where, ["c_custkey"])
+    return publish.read(spark, where)
+
+
+@register("upsert_touched_files", "SELECT count(*) AS n, count_if(o_orderkey <= (SELECT max(o_orderkey) // 100 FROM orders)) AS changed, CAST(sum(CASE WHEN o_orderkey > (SELECT max(o_orderkey) // 100 FROM orders) THEN o_custkey ELSE 0 END) AS BIGINT) AS others, true AS few_rewritten FROM orders")
+def _(spark, d):
+    where, o = scratch(spark, "touched"), t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    n, top = o.agg(F.count(F.lit(1)), F.max("o_orderkey")).first()
+    first = keyed_table.create(o, where, ["o_orderkey"], file_rows=max(1, n // 100))
+    then = keyed_table.upsert(o.filter(F.col("o_orderkey") <= top // 100).select("o_orderkey", F.lit(-1).cast("bigint").alias("o_custkey")), where, ["o_orderkey"])
+    old, new = (spark.read.parquet(m).select("file") for m in (first, then))
+    files, kept = old.count(), old.join(new, "file").count()
+    share = F.lit(20 * (files - kept) < files)
+    changed = F.col("o_custkey") == -1
+    return publish.read(spark, where).agg(F.count(F.lit(1)).alias("n"), F.count_if(changed).alias("changed"), F.sum(F.when(~changed, F.col("o_custkey")).otherwise(0)).alias("others")).select("*", share.alias("few_rewritten"))
+
+
+@register("inc_by_unit_one_job", "SELECT o_orderkey, o_totalprice, o_orderkey % 12 AS part FROM orders WHERE o_totalprice > 50000")
+def _(spark, d):
+    where, out = scratch(spark, "units"), scratch(spark, "units-out")
+    t(spark, d, "orders").selectExpr("o_orderkey", "o_totalprice", "o_orderkey % 12 AS part").repartition(12, "part").write.parquet(where)
+    plan = from_mapping({"name": "units", "input": where, "output": out, "steps": [{"filter": "o_totalprice > 50000"}], "incremental": {"mode": "by_unit"}})
+    transform.run(spark, plan, Store(":memory:"))
+    return transform.output(spark, plan)
+
+
 # streams, as tables
 @register("watermark_late_rows", "SELECT event_id FROM events WHERE event_id % 2 = 1 AND ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_id % 2 = 0)")
 def _(spark, d):
