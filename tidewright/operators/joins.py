@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +42,14 @@ def in_ranges(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str
     cells, ``width`` doubled as often as needed, are as wide as itself, and so to three cells at most, however long it is; a point
     looks into one cell of each level that is in use. Empty ranges and nulls match nothing; numbers may be fractional."""
     level_, cell_ = "\x00level", "\x00cell"
+    bound = lambda c: F.greatest(F.lit(-1.7e308), F.least(F.lit(1.7e308), F.col(f"`{c}`").cast("double")))
     size = lambda level: F.lit(float(width)) * F.pow(F.lit(2.0), level)
-    cell = lambda c, level: F.floor(F.greatest(F.lit(-4e18), F.least(F.lit(4e18), F.col(f"`{c}`").cast("double") / size(level)))).cast("bigint")
+    cell = lambda c, level: F.floor(F.greatest(F.lit(-4e18), F.least(F.lit(4e18), bound(c) / size(level)))).cast("bigint")
+    # the widest level has cells for all numbers; what is wider than a number can say goes there, too
     long = F.col(f"`{high}`").cast("double") - F.col(f"`{low}`").cast("double")
-    own = F.greatest(F.lit(0.0), F.least(F.lit(1000.0), F.ceil(F.log2(F.greatest(long / F.lit(float(width)), F.lit(1e-300)))).cast("double"))).cast("int")
+    doublings = F.ceil(F.log2(F.greatest(long / F.lit(float(width)), F.lit(1e-300)))).cast("double")
+    top = 1022 - max(0, math.ceil(math.log2(width)))
+    own = F.when(long == float("inf"), F.lit(top)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(float(top)), doublings)).cast("int"))
     r = ranges.filter(F.col(f"`{low}`") < F.col(f"`{high}`")).withColumn(level_, own)
     used = [x[0] for x in r.select(level_).distinct().collect()]  # 1,001 at most
     r = r.withColumn(cell_, F.explode(F.sequence(cell(low, F.col(level_)), cell(high, F.col(level_)))))
