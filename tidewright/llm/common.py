@@ -55,21 +55,16 @@ def removed(*tables: DataFrame) -> None:
 
 
 def lean(run):
-    """A task's function whose large arrays go back to the machine when they are freed, and all else when the task ends; a worker
-    that serves many tasks would keep them otherwise."""
+    """A task's function after which what it freed goes back to the machine; a worker that serves many tasks would keep it."""
 
     @functools.wraps(run)
     def wrapped(batches):
-        libc = None
-        with contextlib.suppress(OSError, AttributeError):
-            libc = ctypes.CDLL(None)
-            libc.mallopt(-3, 1 << 20)  # arrays from 1 MB on are mapped on their own
         try:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError):
-                libc.malloc_trim(0)
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
 
     return wrapped
 
