@@ -114,3 +114,10 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (300, 100), (7, 7), (500, 500)]
     got = dict(components(spark.createDataFrame(links, "u long, v long")).collect())
     assert all(got[i] == 1 for i in range(1, 61)) and got[200] == got[300] == 100 and got[500] == 500
+
+
+def test_columns_of_any_name(spark):
+    texts = ["one two three four five six seven eight nine ten"] * 3 + ["all other words stand here and no copy of them"]
+    docs = spark.createDataFrame([(i, t, i, i, i, i, i) for i, t in enumerate(texts)], "doc_id long, text string, _mh_id long, _mh_h long, id long, h long, stays long")
+    got = minhash.deduplicated(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id, r._mh_id, r.id, r.stays) for r in got.collect()) == [(0, 0, 0, 0), (3, 3, 3, 3)]

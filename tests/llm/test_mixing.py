@@ -95,3 +95,11 @@ def test_water_filling_matches_resharing(spark):
         want = filled(sizes)
         for r in mixing.targets(df).collect():
             assert r.target == pytest.approx(want[r.source], rel=1e-9, abs=1e-6)
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, f"word {i} " * 9, f"s{i % 2}", i, i, i, i, i, i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_n long, `a.b` long, id long, h long, copies long, row long")
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns and got.count() >= 40
+    assert all(len({r.doc_id, r._mix_n, r["a.b"], r.id, r.h, r.copies, r.row}) == 1 for r in got.collect())

@@ -306,10 +306,12 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     best = rows.filter("comp is not null").groupBy(F.col("comp").alias("m")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
     judged = rows.join(best, F.col("comp") == F.col("m"), "left")
     stays = F.col("comp").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h")))
-    judged = written(judged.select(F.col("doc_id").alias("_mh_id"), F.col("h").alias("_mh_h"), stays.alias("stays"), ((F.col("copies") > 1) & (F.col("comp").isNotNull() | F.col("doc_id").isNotNull())).alias("again")), "judged")
-    same = F.col(key).cast("long").eqNullSafe(F.col("_mh_id")) & (_text_hash(text) == F.col("_mh_h"))
-    left = docs.join(judged.filter("not stays").select("_mh_id", "_mh_h"), same, "left_anti")
-    again = judged.filter("stays and again").select("_mh_id", "_mh_h")
+    judged = written(judged.select(F.col("doc_id").alias("id"), "h", stays.alias("stays"), ((F.col("copies") > 1) & (F.col("comp").isNotNull() | F.col("doc_id").isNotNull())).alias("again")), "judged")
+    # names that no column of a stored table has
+    id_, hash_ = "\x00id", "\x00hash"
+    same = F.col(key).cast("long").eqNullSafe(F.col(f"`{id_}`")) & (_text_hash(text) == F.col(f"`{hash_}`"))
+    left = docs.join(judged.filter("not stays").select("id", "h").toDF(id_, hash_), same, "left_anti")
+    again = judged.filter("stays and again").select("id", "h").toDF(id_, hash_)
     if again.isEmpty():
         return left
     # only rows that are repeated as a whole are dealt out to find one of each

@@ -202,10 +202,11 @@ def shares(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """The mixture: each row of ``docs`` as many times as it is taken, all columns kept."""
-    taken = shares(docs, key, source, text, **how).filter("copies > 0").select(F.col("doc_id").alias("_mix_d"), F.col("h").alias("_mix_h"), "copies").withColumnRenamed("copies", "_mix_n")
-    rows = docs.withColumn("_mix_x", F.xxhash64(key, source, text))
-    found = rows.join(taken, F.col(key).eqNullSafe(F.col("_mix_d")) & (F.col("_mix_x") == F.col("_mix_h")))
-    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int"))).alias("_mix_k")).drop("_mix_k")
+    taken = shares(docs, key, source, text, **how).filter("copies > 0").select(F.col("doc_id").alias("id"), "h", "copies")
+    # the row goes as one value, so that its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("row_id"), F.xxhash64(f"`{key}`", f"`{source}`", f"`{text}`").alias("row_h"))
+    found = rows.join(taken, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_h") == F.col("h")))
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("k")).select("row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
