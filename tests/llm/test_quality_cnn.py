@@ -64,6 +64,31 @@ def test_training_sees_all_of_a_long_text(spark, monkeypatch):
         assert whole == text.encode().ljust(len(whole), b"\0") and len(whole) >= len(text.encode())
 
 
+def test_long_steps_go_in_groups_and_far_texts_are_read_in_parts(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("abc$ ") for _ in range(rng.choice([3, 900, 60_000]))), i % 2) for i in range(40)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y, 0) for i, _, y in rows], LABELS)
+    monkeypatch.setattr(q, "EPOCHS", 2)
+    monkeypatch.setattr(q.Model.fit, "__defaults__", (2, 0))
+    whole = q.train(docs, labels)
+    monkeypatch.setattr(q, "STEP_CHUNKS", 100)
+    parts = q.train(docs, labels)
+    assert np.allclose(whole.filters, parts.filters, atol=1e-4) and np.allclose(whole.out, parts.out, atol=1e-4)
+    texts = [t.encode() for _, t, _ in rows]
+    monkeypatch.setattr(q, "HELD", 70_000)
+    near, far = q.Texts(texts), q.Texts(texts, lambda i, at, n: texts[i][at : at + n])
+    assert sum(t is None for t in far.texts) > 5
+    for i in range(len(texts)):
+        assert (near[i] == far[i]).all()
+        for own, counts, x in (g() for g in q._groups(far, np.array([i]))):
+            assert counts.sum() == len(x) <= 100 and set(own.tolist()) == {0}
+    read = []
+    monkeypatch.setattr(q.Model, "fit", lambda self, chunks, y, w: read.append([np.array(chunks[i]) for i in (0, len(chunks) - 1)]) or self)
+    q.train(docs, labels)
+    held = sorted(i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5)
+    assert (read[0][0] == near[held[0]]).all() and (read[0][1] == near[held[-1]]).all()
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     none = spark.createDataFrame([], LABELS)
