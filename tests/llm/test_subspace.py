@@ -57,3 +57,9 @@ def test_matches_brute_force(spark, monkeypatch, dim, least):
 
 def test_empty(spark):
     assert subspace.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_vectors_whose_squares_over_or_underflow(spark):
+    rows = [(1, [1e200, 0.0, 1e150, 0.0], 1), (2, [2.0, 0.0, 0.0, 0.0], 1), (3, [1e-200, 0.0, 0.0, 1e-310], 1), (4, [0.0, 5e-324, 0.0, 0.0], 1), (5, [0.0, 1e308, 1e300, 0.0], 1), (6, [0.0] * 4, 1)]
+    got = subspace.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6)]

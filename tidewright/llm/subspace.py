@@ -45,6 +45,11 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """A vector of the same direction whose squares neither over- nor underflow; a power of two changes no digit."""
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+
+
 def fixed_point(x: np.ndarray) -> np.ndarray:
     """Rotated unit vectors in fixed point, padded to whole blocks."""
     x = x / np.linalg.norm(x, axis=1)[:, None]
@@ -67,10 +72,9 @@ def _ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, v in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             ok = label is not None and v.is_valid and len(v) > 0 and v.values.null_count == 0
             x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0 if ok else None  # -0 becomes 0
-            with np.errstate(over="ignore"):
-                ok = ok and bool(np.isfinite(x).all()) and 0 < np.linalg.norm(x) < math.inf
+            ok = ok and bool(np.isfinite(x).all()) and bool(x.any())
             cids.append(int.from_bytes(hashlib.blake2b(f"{label}|{len(x)}|".encode() + x.tobytes(), digest_size=8).digest(), "little", signed=True) if ok else None)
-            codes.append(fixed_point(x[None, :])[0].tobytes() if ok else None)
+            codes.append(fixed_point(scaled(x)[None, :])[0].tobytes() if ok else None)
             dims.append(len(x) if ok else None)
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cids, pa.int64()), pa.array(dims, pa.int32()), pa.array(codes, pa.binary())], names=["vec_id", "label", "cid", "dim", "code"])
 
@@ -167,7 +171,7 @@ def _exact(least: float):
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                x, y = (z.values.to_numpy(zero_copy_only=False).astype(np.float64) for z in (x, y))
+                x, y = (scaled(z.values.to_numpy(zero_copy_only=False).astype(np.float64)) for z in (x, y))
                 if float(x @ y) / math.sqrt(float(x @ x) * float(y @ y)) >= least:
                     keep.append(i)
             if keep:
