@@ -85,10 +85,10 @@ def freed_shuffles(spark: SparkSession):
             spark.conf.set(name, was)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
     """Bound what one Arrow batch holds, as texts may be long; settings that are lower already stay. Results are lazy, so the
     settings must still hold when they are run."""
-    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 32 << 20)):
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         name = f"spark.sql.execution.arrow.{name}"
         now = spark.conf.get(name)
         if not now.isdigit() or not 0 < int(now) <= most:
