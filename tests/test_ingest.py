@@ -52,6 +52,25 @@ def test_key_ranges(spark, tmp_path):
         database.identifier("t; drop")
 
 
+def test_jdbc_key_ranges(spark, tmp_path, monkeypatch):
+    url = f"jdbc:derby:{tmp_path}/base;create=true;user=app;password=hunter2"
+    monkeypatch.setenv("TIDE_DSN", url)
+    spark.range(1, 251).selectExpr("id", "CAST(id AS string) AS v").write.jdbc(url, "app.t", properties={"createTableColumnTypes": "v varchar(20)"})
+    source = database.JdbcTable(spark, "TIDE_DSN", "APP.T", "id", size=100, parts=3)
+    units = list(source.units())
+    assert [u[0] for u in units] == ["key=1..101", "key=101..201", "key=201..251"]
+    got = source.fetch(spark, units[1])
+    assert got.rdd.getNumPartitions() == 3 and sorted(r.id for r in got.collect()) == list(range(101, 201))
+    with pytest.raises(DataError) as e:
+        list(database.JdbcTable(spark, "TIDE_DSN", "NOPE", "id").units())
+    assert "hunter2" not in str(e.value)
+    monkeypatch.delenv("TIDE_DSN")
+    with pytest.raises(SpecError):
+        list(source.units())
+    with pytest.raises(SpecError):
+        database.JdbcTable(spark, "TIDE_DSN", "t; drop", "id")
+
+
 def pages(total, size):
     def transport(params):
         at = params.get("offset", (params.get("page", 1) - 1) * size)

@@ -223,3 +223,34 @@ def test_stores_open_to_spark_alone_are_merged_by_spark(spark, tmp_path, monkeyp
     spark.range(3).selectExpr("id AS k", "'x' AS more").write.mode("append").parquet(str(tmp_path / "t"))
     monkeypatch.setattr(union, "footer", lambda _: None)
     assert union.read_parquet(spark, str(tmp_path / "t")).selectExpr("sum(k)", "count(more)").first() == (6, 3)
+
+
+def test_small_files_are_merged_by_a_commit_in_any_store(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.heap.link./d", f"file://{tmp_path}")
+    where = "viewfs://heap/d/t"
+    for i in range(6):
+        publish.upsert_table(spark.createDataFrame([(10 * i + j, i) for j in range(3)], "k bigint, v int"), where, ["k"])
+    before = rows(spark, where)
+    assert keyed_table.compact(spark, where, ["k"], file_rows=9) == {"files": 6, "rows": 18, "made": 2}
+    assert rows(spark, where) == before
+    assert keyed_table.compact(spark, where, ["k"], file_rows=9)["files"] == 0
+    publish.upsert_table(spark.createDataFrame([(0, 99)], "k bigint, v bigint"), where, ["k"])
+    assert rows(spark, where) == sorted([(0, 99), *before[1:]], key=str)
+    with pytest.raises(DataError):
+        keyed_table.compact(spark, str(tmp_path / "none"), ["k"])
+
+
+def test_a_compaction_that_was_second_is_done_again(spark, tmp_path, monkeypatch):
+    where, real, first = str(tmp_path / "t"), publish.commit, []
+    for i in range(3):
+        publish.upsert_table(spark.createDataFrame([(i, "old")], "k int, v string"), where, ["k"])
+
+    def late(files, path, name, base, fence):
+        if not first:
+            first.append(name)
+            publish.upsert_table(spark.createDataFrame([(1, "new")], "k int, v string"), where, ["k"])
+        return real(files, path, name, base, fence)
+
+    monkeypatch.setattr(publish, "commit", late)
+    keyed_table.compact(spark, where, ["k"])
+    assert rows(spark, where) == [(0, "old"), (1, "new"), (2, "old")]

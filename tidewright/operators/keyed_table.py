@@ -164,3 +164,44 @@ def _merged(spark: SparkSession, path: str, name: str, folder: str, new: DataFra
     kept = old.join(F.broadcast(gone), F.col("file") == F.col("gone"), "left_anti")
     bounds = [F.col(c).cast(fresh.schema[c].dataType).alias(c) for c in ("low", "high")]
     return kept.select("file", "rows", *bounds).unionByName(fresh)
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], file_rows: int = FILE_ROWS, least: int = 2, fence: int | None = None, attempts: int = 10, keep: int = 3) -> dict:
+    """Files of less than half of ``file_rows`` rows become files of about so many, clustered by key, as a version of its own: readers
+    see the one or the other, in any store, and a writer who was first is never undone."""
+    files, done = Files(path, spark), {"files": 0, "rows": 0, "made": 0}
+
+    def attempt(base: publish.Entry | None) -> str | None:
+        if base is None:
+            raise DataError(f"{path} holds no table")
+        token, ok = uuid.uuid4().hex[:12], False
+        old = _manifest(spark, path, base.name) if base.name.startswith("m-") else _ranges(spark.read.parquet(f"{path}/{base.name}"), keys)
+        small = old.filter(F.col("rows") < file_rows / 2).select("file", "rows").collect()
+        if len(small) < least:
+            done.update(files=0, rows=0, made=0)
+            return base.name
+        try:
+            body = read_parquet(spark, path, sorted(f"{path}/{r.file}" for r in small))
+            rows = sum(r.rows for r in small)
+            fresh = _write(body, path, f"d-{token}", keys, rows, file_rows)
+            gone = spark.createDataFrame([(r.file,) for r in small], "gone string")
+            bounds = [F.col(c).cast(fresh.schema[c].dataType).alias(c) for c in ("low", "high")]
+            kept = old.join(F.broadcast(gone), F.col("file") == F.col("gone"), "left_anti").select("file", "rows", *bounds)
+            kept.unionByName(fresh).coalesce(1).write.parquet(f"{path}/m-{token}")
+            made = [r for r in _manifest(spark, path, f"m-{token}").filter(F.col("file").startswith(f"d-{token}/")).select("rows").collect()]
+            if sum(r.rows for r in made) != rows:
+                raise RuntimeError("compaction lost rows")
+            done.update(files=len(small), rows=rows, made=len(made))
+            ok = publish.commit(files, path, f"m-{token}", base, fence)
+        except (PySparkException, Py4JJavaError):
+            if publish.last_entry(path, spark) == base:
+                raise
+        finally:
+            if not ok:
+                files.remove(f"{path}/d-{token}")
+                files.remove(f"{path}/m-{token}")
+        return f"m-{token}" if ok else None
+
+    publish.retrying(path, spark, attempt, attempts)
+    publish.expire(spark, path, keep)
+    return done
