@@ -90,12 +90,12 @@ def create(df: DataFrame, path: str, keys: list[str], file_rows: int = FILE_ROWS
     return f"{path}/{manifest}"
 
 
-def _met(manifest: DataFrame, new: DataFrame, keys: list[str]) -> list:
+def _met(manifest: DataFrame, new: DataFrame, n_new: int, keys: list[str]) -> list:
     """Files whose range meets one of few ranges that hold all new keys."""
     own = manifest.schema["low"].dataType
     kind = ", ".join(f"k{i}: {widest(own[i].dataType, new.schema[k].dataType).simpleString()}" for i, k in enumerate(keys))
     key = F.struct(*[q(k).alias(f"k{i}") for i, k in enumerate(keys)]).cast(f"struct<{kind}>")
-    ranges = new.select(key.alias("key")).repartitionByRange(RANGES, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    ranges = new.select(key.alias("key")).repartitionByRange(max(1, min(RANGES, n_new // 50)), "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("a"), F.max("key").alias("b"))
     cut = manifest.select("file", "rows", F.col("low").cast(f"struct<{kind}>").alias("low"), F.col("high").cast(f"struct<{kind}>").alias("high"))
     return cut.join(F.broadcast(ranges.select("a", "b")), (F.col("a") <= F.col("high")) & (F.col("b") >= F.col("low")), "left_semi").select("file", "rows").collect()
 
@@ -153,7 +153,7 @@ def _merged(spark: SparkSession, path: str, name: str, folder: str, new: DataFra
     old = _manifest(spark, path, name) if name.startswith("m-") else _ranges(spark.read.parquet(f"{path}/{name}"), keys)
     if not n_new:
         return old
-    met = _met(old, new, keys)
+    met = _met(old, new, n_new, keys)
     touched = sorted(_holding(spark, path, [r.file for r in met], new, keys)) if met else []
     body = keyed.upserted(read_parquet(spark, path, [f"{path}/{f}" for f in touched]), new, keys) if touched else new
     known = old.agg(F.sum("rows"), F.count(F.lit(1))).first()

@@ -298,7 +298,7 @@ def _(spark, d):
     return publish.read(spark, where)
 
 
-@register("upsert_touched_files", "SELECT count(*) AS n, count_if(o_orderkey <= (SELECT max(o_orderkey) // 100 FROM orders)) AS changed, CAST(sum(CASE WHEN o_orderkey > (SELECT max(o_orderkey) // 100 FROM orders) THEN o_custkey ELSE 0 END) AS BIGINT) AS others, true AS few_rewritten FROM orders")
+@register("upsert_touched_files", "SELECT count(*) AS n, CAST(count_if(o_orderkey <= (SELECT max(o_orderkey) // 100 FROM orders)) AS BIGINT) AS changed, CAST(sum(CASE WHEN o_orderkey > (SELECT max(o_orderkey) // 100 FROM orders) THEN o_custkey ELSE 0 END) AS BIGINT) AS others, true AS few_rewritten FROM orders")
 def _(spark, d):
     where, o = scratch(spark, "touched"), t(spark, d, "orders").select("o_orderkey", "o_custkey")
     n, top = o.agg(F.count(F.lit(1)), F.max("o_orderkey")).first()
