@@ -102,9 +102,9 @@ def write_records(docs: DataFrame, where: str, key: str = "doc_id", text: str =
     store, top = _filesystem(where)
     store.create_dir(top, recursive=True)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # equal ids go by their text, so that another run writes the same
+    # equal ids go by a hash of their text, within shards as between them, so that another run writes the same
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes(rows) // SHARD_BYTES))
-    dealt = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     path = tokenizer or vocabulary("word_bpe_49k.json")
     return sorted(tuple(r) for r in dealt.mapInArrow(_writer(where, path, end), "shard long, records long, tokens long, width long").collect())
 
