@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Slices of values whose totals are carried on, at most.
+SLICES = 500
+
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], prefix: str = "", slices: str | None = None) -> DataFrame:
     """Each left row with ``values`` of the latest right row of the same key at or before it: one shuffle and a running
@@ -55,3 +58,32 @@ def in_ranges(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str
     r = r.withColumn(cell_, F.explode(F.sequence(cell(low, F.col(level_)), cell(high, F.col(level_)))))
     p = points.withColumn(level_, F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn(cell_, cell(at, F.col(level_)))
     return p.join(r, [level_, cell_]).filter((F.col(f"`{at}`") >= F.col(f"`{low}`")) & (F.col(f"`{at}`") < F.col(f"`{high}`"))).drop(level_, cell_)
+
+
+def totals_in_ranges(points: DataFrame, ranges: DataFrame, by: list[str], at: str, low: str, high: str, sums: dict[str, str]) -> DataFrame:
+    """For each ``by`` of the ranges, over all pairs ``in_ranges`` would give: their number ``n``, and sums of the points' columns
+    of whole numbers, by new name; groups without a pair are left out. No pair is made, so wide ranges over many points cost
+    no more than narrow ones: totals below ``high`` less those below ``low`` are those between. Totals run along the distinct
+    values of points and bounds in slices, each from the totals of the slices before, of which there are ``SLICES`` at most."""
+    from pyspark.ml.feature import Bucketizer
+
+    value, cut, cell, sign, count, names = "\x00v", "\x00d", "\x00c", "\x00sign", "\x00n", [f"\x00s{i}" for i in range(len(sums))]
+    some = [f"\x00some{i}" for i in range(len(sums))]
+    # totals of all points may be longer than those of a range
+    p = points.filter(F.col(f"`{at}`").isNotNull()).select(F.col(f"`{at}`").alias(value), F.lit(1).alias(count), *[F.col(f"`{c}`").cast("decimal(38,0)").alias(s) for s, c in zip(names, sums.values(), strict=True)])
+    r = ranges.filter(F.col(f"`{low}`") < F.col(f"`{high}`"))
+    end = lambda c, side: r.select(*[F.col(f"`{k}`").alias(f"\x00k{i}") for i, k in enumerate(by)], F.col(f"`{c}`").alias(value), F.lit(side).alias(sign))
+    bounds = end(low, -1).unionByName(end(high, 1))
+    totals = [F.sum(count).alias(count), *[F.sum(F.coalesce(s, F.lit(0).cast("decimal(38,0)"))).alias(s) for s in names]]
+    each = p.select("*", *[F.col(s).isNotNull().cast("int").alias(m) for s, m in zip(names, some, strict=True)]).unionByName(bounds.select(value).distinct().withColumn(count, F.lit(0)), allowMissingColumns=True)
+    each = each.groupBy(value).agg(*totals, *[F.sum(F.coalesce(m, F.lit(0))).alias(m) for m in some]).withColumn(cut, F.col(value).cast("double"))
+    cuts = sorted({x for x in each.approxQuantile(cut, [i / SLICES for i in range(1, SLICES)], 0.1 / SLICES) if math.isfinite(x)})
+    each = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=cut, outputCol=cell, handleInvalid="keep").transform(each)
+    added = [count, *names, *some]
+    before = lambda w: [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in added]
+    inner = Window.partitionBy(cell).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.groupBy(cell).agg(*[F.sum(c).alias(c) for c in added]).select(F.col(cell).alias("\x00c2"), *[x.alias(f"{c}+") for x, c in zip(before(run), added, strict=True)])
+    below = each.select(value, cell, *before(inner)).join(F.broadcast(carried), F.col(cell) == F.col("\x00c2")).select(F.col(value).alias("\x00v2"), *[(F.col(c) + F.col(f"{c}+")).alias(c) for c in added])
+    out = bounds.join(below, F.col(value) == F.col("\x00v2")).groupBy(*[f"\x00k{i}" for i in range(len(by))]).agg(*[F.sum(F.col(sign) * F.col(c)).alias(c) for c in added])
+    return out.filter(F.col(count) > 0).select(*[F.col(f"\x00k{i}").alias(k) for i, k in enumerate(by)], F.col(count).alias("n"), *[F.when(F.col(m) > 0, F.col(s)).cast("bigint").alias(name) for m, s, name in zip(some, names, sums, strict=True)])
