@@ -169,6 +169,37 @@ def test_tail_matches_a_plain_tree(spark, monkeypatch, apart):
         assert got[i] == pytest.approx(w, rel=1e-6, abs=1e-5)
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_words_that_are_not_known_are_learned(spark, monkeypatch, apart):
+    """Words beyond the known ones are predicted by contexts, and stand in contexts, as all others."""
+    monkeypatch.setattr(q, "P_MIN", 0.004)
+    monkeypatch.setattr(q, "KNOWN", 10)
+    monkeypatch.setattr(q, "_PART_TOKENS", 2_000)
+    docs = [*corpus(600, 3), (9000, None), (9001, "The quick brown fox never seen"), (9002, "the " * 50), (9003, "the stands here")]
+    docs += [(10_000 + i, f"rare pair number{i % 9} stands here") for i in range(60)]
+    docs += [(20_000 + i, f"once{i} scarce the match number{i % 9}") for i in range(40)]
+    train = [x for i, x in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(t for x in train for t in tokens(x))
+    frequent = math.ceil(q.P_MIN * sum(counts.values()))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    if apart:
+        tree, words = q.train(df.filter(~q.held_out()).select("text"))
+        got = [q.score(df, tree, words), q.score(df, tree, words)][1]
+    else:
+        texts = q.encoded(df)
+        tree, words = q.learn(texts)
+        got = q.scored(texts, tree, words)
+    got = {r.doc_id: r for r in got.collect()}
+    # all words of the head are known, and none else
+    assert sorted(tree.counts) == sorted(c for c in counts.values() if c >= frequent) and len(tree.counts) >= q.KNOWN
+    want, kept = plain_scores(train, [x for _, x in docs], frequent)
+    own = {(c, w) for c, (own, _) in kept.items() for w in own}
+    assert any(q.LEAST <= counts[w] < frequent and counts[c[-1]] < frequent for c, w in own) and any(counts[w] < frequent <= counts[c[-1]] for c, w in own)
+    for (i, x), w, b in zip(docs, want, base(docs), strict=True):
+        assert got[i].score == pytest.approx(w, rel=1e-6, abs=1e-5), x
+        assert got[i].n_known == b[2] and got[i].base_score == pytest.approx(b[4], rel=1e-9, abs=1e-9)
+
+
 @pytest.mark.parametrize("share", [1e-9, 0.03])
 def test_phrases_are_learned_whatever_the_size(spark, monkeypatch, share):
     """Contexts below the share, which a larger corpus makes a larger count, are learned at every length by an absolute count."""

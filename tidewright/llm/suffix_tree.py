@@ -12,16 +12,17 @@ Contexts below that share are the tail, which grows with the corpus: wherever th
 ``DEPTH``, all longer contexts, up to ``DEPTH`` words, are learned from all their occurrences, with the same test and smoothing;
 words after them need ``LEAST`` occurrences, whatever the size of the corpus. The tail is never gathered in one place: every such place in a text goes by the hash of its longer
 context to one of many parts, which counts, tests and scores; what it adds to each text's score comes back, in single
-precision. A place is sent as the number of the head's context, the rank of the word before it (its hash, if it is none of the
-known words), the rank of the word after it, and its text; the part finds the head's probabilities itself. No part is hot, as
-a context of the tail makes up less than ``P_MIN`` of all training tokens.
+precision. A place is sent as the number of the head's context, the ranks of the words before it (a hash for each that is none
+of the known words), the rank of the word after it (hash and count, if it is not known), and its text; the part finds the head's
+probabilities itself. Not sent are contexts with a word that occurs less than ``LEAST`` times, as none of them has a word to
+learn. No part is hot, as a context of the tail makes up less than ``P_MIN`` of all training tokens.
 
 Texts are split into words once: every block of texts is written as the hashes of its distinct words and the numbers of its
 tokens among them, about 3.5 bytes a token. All passes read these: first words and hashed pairs (pairs only as counts of
 ``BUCKETS`` buckets, which tells the pairs that can be frequent); then, level by level, exact counts of the runs that extend a
-candidate; at last the scores. All counts are gathered by shuffles that grow with the input. For the unigrams, the most
-frequent words, ``KNOWN`` at most, are broadcast; any other word of a text is joined with the table of all words, so ``c`` is
-exact for each.
+candidate; at last the scores. All counts are gathered by shuffles that grow with the input. Of the unigrams, the most
+frequent words are broadcast: those that make up ``P_MIN``, and others while all are ``KNOWN`` at most. The other words of each
+block are joined with the table of all words, and the block is written again with their counts, so ``c`` is exact for each.
 
 Defined cases: a null or empty text is one end token; without training tokens every base term is log10(1/1); a null id is
 never held out; rows that are repeated are counted as often in training and scored alike; an empty table gives no rows;
@@ -53,10 +54,12 @@ _PARTS = 64
 _GATHER = 500_000
 #: Training tokens for each part of the tail.
 _PART_TOKENS = 500_000
-#: Parts of the tail at most, and the rank of words that are not known: parts, the head's contexts and ranks share 64 bits.
-_PARTS_MOST, UNKNOWN = 1 << 22, (1 << 19) - 1
-#: Stands for the rank of a word that a context does not have.
-NONE = UNKNOWN - 1
+#: Parts of the tail at most, and the bits of contexts and ranks: parts, the head's contexts and ranks share 64 bits.
+_PARTS_MOST, _CONTEXT_BITS, _RANK_BITS = 1 << 21, 23, 20
+#: Stands for the rank of a word that is not known.
+UNKNOWN = (1 << _RANK_BITS) - 1
+#: Stands for the rank of a word that a context does not have, and of one whose hash and count are given.
+NONE, LISTED = UNKNOWN - 1, UNKNOWN - 2
 #: Rows of one Arrow batch.
 _ROWS = 1 << 16
 
@@ -80,7 +83,7 @@ def token_codes(texts: pa.Array, hashed: WordHash) -> tuple[np.ndarray, np.ndarr
     return out, h, bounds
 
 
-_BLOCK = "doc_id array<long>, held array<boolean>, k array<long>, sizes array<long>, codes binary, words binary"
+_BLOCK = "doc_id array<long>, held array<boolean>, sizes array<long>, codes binary, words binary"
 
 
 @lean
@@ -88,9 +91,9 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each block of texts: its documents, the numbers of its tokens in two planes of 16 bits, and its words' hashes."""
     hashed = WordHash(200_000)
     for block in blocks(batches):
-        codes, h, at = token_codes(block.column(3), hashed)
+        codes, h, at = token_codes(block.column(2), hashed)
         planes = np.stack([codes & 0xFFFF, codes >> 16]).astype("<u2").tobytes()
-        lists = [pa.array([x.to_pylist()], pa.list_(t)) for x, t in zip(block.columns[:3], (pa.int64(), pa.bool_(), pa.int64()), strict=True)]
+        lists = [pa.array([x.to_pylist()], pa.list_(t)) for x, t in zip(block.columns[:2], (pa.int64(), pa.bool_()), strict=True)]
         yield pa.record_batch([*lists, pa.array([np.diff(at).tolist()], pa.list_(pa.int64())), pa.array([pa.compress(planes, "zstd", asbytes=True)], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
 
@@ -324,75 +327,96 @@ class Tree:
         key = self.keys[level - 1][run]
         return np.concatenate([self.spelled(level - 1, key >> 32), (key & 0xFFFFFFFF)[:, None]], axis=1)
 
-    def probabilities(self, tokens: np.ndarray, at: np.ndarray, codes: np.ndarray | None = None) -> tuple:
-        """Per token: its place among the known words, the root's probability and the head's (for words not known: what
-        contexts leave to the root)."""
-        place, number, end_number = self.numbers(tokens, codes)
-        ok = place >= 0
-        p0 = np.ones(len(place))
-        p0[ok] = (self.counts[place[ok]] + 1.0) / (self.n + self.v + 1.0)
+    def occurrences(self, tokens: np.ndarray, rest: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """How often each token occurs in training; ``rest`` has places and counts of those that are not known, others occur never."""
+        place = self.known(tokens)
+        c = np.zeros(len(tokens), np.int64)
+        c[place >= 0] = self.counts[place[place >= 0]]
+        if rest is not None:
+            c[rest[0]] = rest[1]
+        return c
+
+    def probabilities(self, tokens: np.ndarray, at: np.ndarray, codes: np.ndarray | None = None, rest: tuple | None = None) -> tuple:
+        """Per token: its count, the root's probability and the head's."""
+        _, number, end_number = self.numbers(tokens, codes)
+        c = self.occurrences(tokens, rest)
+        if codes is not None:
+            c = c[codes]
+        p0 = (c + 1.0) / (self.n + self.v + 1.0)
         p = p0.copy()
         for level, (where, context, run) in enumerate(self.runs(number, at, end_number)):
             own = np.zeros(len(where))
             own[run >= 0] = self.own[level][run[run >= 0]]
             p[where] = own + self.left[level][context] * p[where]
-        return place, p0, p
+        return c, p0, p
 
     def starts(self) -> np.ndarray:
         """The first number of each level's contexts where those of all levels are numbered in a row; 0 is the root."""
         return np.cumsum([1, len(self.words), *(len(k) for k in self.keys[:-1])])
 
-    def tail(self, tokens: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple:
+    def tail(self, tokens: np.ndarray, at: np.ndarray, codes: np.ndarray, rest: tuple | None = None) -> tuple:
         """Tokens that have a context one word longer than the longest in the head: their places, the numbers of the head's
         contexts, ranks of the words before those, nearest first, up to contexts of ``DEPTH`` words (rank ``NONE`` where a context
-        has no such word), the ranks of the tokens themselves, and a function that gives the hashes of words of rank ``UNKNOWN``."""
+        has no such word, or one that occurs less than ``LEAST`` times), the ranks of the tokens themselves (``LISTED`` where they
+        are not known and occur as often), a function that gives the hashes of words of rank ``UNKNOWN`` before them, and one that
+        gives hashes and counts of listed tokens."""
         place, number, end_number = self.numbers(tokens, codes)
+        often = self.occurrences(tokens, rest)
         length, context_of = np.zeros(len(codes), np.int8), np.zeros(len(codes), np.int64)
         for level, (where, context, _) in enumerate(self.runs(number, at, end_number)):
             length[where], context_of[where] = level + 1, self.starts()[level] + context
         # a text of j words up to the token has contexts of up to j + 1 tokens, the first of them an end
         j = np.arange(len(codes), dtype=np.int32) - np.repeat(at[:-1].astype(np.int32), np.diff(at))
         depth, rank = len(self.keys), self.ranks(place)
+        rank[(rank == UNKNOWN) & (often >= LEAST)[codes]] = LISTED
         where = np.flatnonzero((length < depth) & (j >= length))
-        length, j = length[where], j[where]
-        end_rank = self.ranks(found(self.hashes, np.array([self.end])))[0]
-        older = []
+        end_at = np.flatnonzero(tokens == self.end)[0]
+        # each distinct token's rank as a word before others
+        as_older = np.where(often < LEAST, np.uint32(NONE), self.ranks(self.known(tokens)))
+
+        def older_at(k: int, some: np.ndarray) -> np.ndarray:
+            """The distinct tokens that stand k words before the head's contexts."""
+            begins = j[where[some]] == length[where[some]] + k
+            return np.where(begins, end_at, codes[where[some] - np.where(begins, 0, length[where[some]] + (k + 1))])
+
+        where = where[as_older[older_at(0, np.arange(len(where)))] != NONE]
+        older, some = [], np.arange(len(where))
         for k in range(depth):
-            some = np.flatnonzero((j >= length + k) & (length + k < depth))
-            begins = j[some] == length[some] + k
+            some = some[(j[where[some]] >= length[where[some]] + k) & (length[where[some]] + k < depth)]
             ranks = np.full(len(where), NONE, np.uint32)
-            ranks[some] = np.where(begins, end_rank, rank[where[some] - np.where(begins, 0, length[some] + (k + 1))])
+            ranks[some] = as_older[older_at(k, some)]
+            some = some[ranks[some] != NONE]
             older.append(ranks)
 
         def hashes(k: int, some: np.ndarray) -> np.ndarray:
-            begins = j[some] == length[some] + k
-            return np.where(begins, self.end, tokens[codes[where[some] - np.where(begins, 0, length[some] + (k + 1))]]).view(np.uint64)
+            return tokens[older_at(k, some)].view(np.uint64)
+
+        def listed(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            of = codes[where[some]]
+            return tokens[of].view(np.uint64), often[of].astype(np.uint32)
 
-        return where, context_of[where], older, rank[where], hashes
+        return where, context_of[where], older, rank[where], hashes, listed
 
     def ranks(self, place: np.ndarray) -> np.ndarray:
         return np.where(place >= 0, self.rank[place], np.uint32(UNKNOWN)) if len(self.rank) else np.full(len(place), UNKNOWN, np.uint32)
 
-    def head_p(self, context_of: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """The head's probability of known words after contexts numbered as by ``tail``."""
-        place = self.by_rank[rank]
-        p, last, starts = (self.counts[place] + 1.0) / (self.n + self.v + 1.0), self.number[place], self.starts()
+    def head_p(self, context_of: np.ndarray, rank: np.ndarray, listed: np.ndarray) -> np.ndarray:
+        """The head's probability of words after contexts numbered as by ``tail``; ranks beyond ``UNKNOWN`` are places in the
+        counts of ``listed`` words, of which the head has none."""
+        ok, starts = rank < UNKNOWN, self.starts()
+        place = self.by_rank[rank[ok]]
+        c, last = np.empty(len(rank)), np.full(len(rank), -1, np.int64)
+        c[ok], last[ok], c[~ok] = self.counts[place], self.number[place], listed[rank[~ok] - np.uint32(UNKNOWN + 1)]
+        p = (c + 1.0) / (self.n + self.v + 1.0)
         for level in range(len(self.keys)):
             mine = np.flatnonzero((context_of >= starts[level]) & (context_of < starts[level + 1] if level + 1 < len(starts) else True))
             p[mine] = self.along(level, context_of[mine] - starts[level], last[mine], p[mine], level + 1)
         return p
 
-    def score(self, tokens: np.ndarray, at: np.ndarray, codes: np.ndarray | None = None) -> tuple:
-        """Per text: known tokens, base and score in log10 over known words, and for other words their hashes and counts;
-        the score holds what contexts leave to the root for those, too."""
-        place, p0, p = self.probabilities(tokens, at, codes)
-        tokens, ok = tokens if codes is None else tokens[codes], place >= 0
-        text = at[:-1]
-        known = np.add.reduceat(ok.astype(np.int64), text)
-        base, full = np.add.reduceat(np.log10(p0), text), np.add.reduceat(np.log10(p), text)
-        other = np.flatnonzero(~ok)
-        owner = np.searchsorted(at, other, "right") - 1
-        return known, base, full, tokens[other], np.searchsorted(owner, np.arange(len(at)))
+    def score(self, tokens: np.ndarray, at: np.ndarray, codes: np.ndarray | None = None, rest: tuple | None = None) -> tuple:
+        """Per text: known tokens, base and score in log10."""
+        c, p0, p = self.probabilities(tokens, at, codes, rest)
+        return tuple(np.add.reduceat(x, at[:-1]) for x in ((c > 0).astype(np.int64), np.log10(p0), np.log10(p)))
 
 
 def found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -432,8 +456,8 @@ def encoded(docs: DataFrame, key: str | None = "doc_id", text: str = "text") ->
     """Blocks of tokenised documents, written once. Without ``key`` no text is held out."""
     small_batches(docs.sparkSession, size=8 << 20)
     name = F.lit(None).cast("long") if key is None else F.col(key).cast("long")
-    held, k = (F.lit(False), F.xxhash64(text)) if key is None else (held_out(key), F.xxhash64(key, text))
-    rows = docs.select(name.alias("doc_id"), held.alias("held_out"), k.alias("k"), F.col(text).cast("string").alias("text"))
+    held = F.lit(False) if key is None else held_out(key)
+    rows = docs.select(name.alias("doc_id"), held.alias("held_out"), F.col(text).cast("string").alias("text"))
     return written(rows.mapInArrow(_blocks_of, _BLOCK).withColumn("block", F.monotonically_increasing_id()), "encoded")
 
 
@@ -450,9 +474,10 @@ def _learn(texts: DataFrame, depth: int) -> tuple[Tree, DataFrame]:
     # how many words have each count: sqrt(2 * tokens) rows at most
     counts = all_words.groupBy("c").agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("c", ascending=False)
     n, v = int((counts["c"] * counts["words"]).sum()), int(counts["words"].sum())
-    fits = counts[counts["words"].cumsum() <= KNOWN]
-    top = all_words.filter(F.col("c") >= int(fits["c"].min()) if len(fits) else F.lit(False)).toPandas()
     frequent = max(LEAST, math.ceil(P_MIN * n))
+    # those of the head, 1 / P_MIN at most, are known in any case
+    fits = counts[(counts["words"].cumsum() <= KNOWN) | (counts["c"] >= frequent)]
+    top = all_words.filter(F.col("c") >= int(fits["c"].min()) if len(fits) else F.lit(False)).toPandas()
     tree = Tree(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), n, v, frequent)
     tables = first.filter("part is not null").select(F.col("part").cast("long").alias("part"), "counts").repartition("part").sortWithinPartitions("part")
     bits = {r["part"]: bytes(r["bits"]) for r in tables.mapInArrow(_frequent_buckets(frequent), "part long, bits binary").collect()}
@@ -478,16 +503,22 @@ def train(texts: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
 
 def _packed(*columns: np.ndarray) -> bytes:
     """Columns of equal length, each by planes of its bytes, compressed."""
+    if not len(columns[0]):
+        return b""
     planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
     return pa.compress(b"".join(planes), "zstd", asbytes=True)
 
 
 _TAIL = {"contexts": np.uint32, **{f"older{k}": np.uint32 for k in range(DEPTH)}, "words": np.uint32, "docs": np.uint32}
+_WORDS = {"hashes": np.uint64, "counts": np.uint32}
 _GAIN = {"docs": np.uint32, "gains": np.float32}
+_REST = {"places": np.uint32, "counts": np.uint32}
 
 
 def _unpacked(data: pa.Buffer, n: int, columns: dict) -> list[np.ndarray]:
     types = [np.dtype(t) for t in columns.values()]
+    if not n:
+        return [np.zeros(0, t) for t in types]
     body, out, at = np.frombuffer(pa.decompress(data, n * sum(t.itemsize for t in types), "zstd"), np.uint8), [], 0
     for t in types:
         out.append(np.ascontiguousarray(body[at : at + n * t.itemsize].reshape(t.itemsize, n).T).view(t).ravel())
@@ -495,20 +526,79 @@ def _unpacked(data: pa.Buffer, n: int, columns: dict) -> list[np.ndarray]:
     return out
 
 
+def _others(shared):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's words that are not known."""
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.frombuffer(data.as_buffer(), np.int64)
+                place = np.flatnonzero(shared.value.known(h) < 0)
+                for i in range(0, len(place), _ROWS):
+                    some = place[i : i + _ROWS]
+                    yield pa.record_batch([pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), pa.array(h[some])], names=["b", "i", "w"])
+
+    return run
+
+
+@lean
+def _rest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block, with the places and counts of those of its words that were found; rows come sorted."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        place, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        data = _packed(np.diff(place, prepend=0).astype(np.uint32), c.astype(np.uint32))
+        return pa.record_batch([pa.array([now], pa.int64()), pa.array([len(place)], pa.int64()), pa.array([data], pa.binary())], names=["b", "found", "rest"])
+
+    for batch in batches:
+        block, place, c = (x.to_numpy() for x in batch.columns)
+        begins = np.flatnonzero(np.append(True, block[1:] != block[:-1]))[: len(block)]
+        for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(block)], strict=False):
+            if block[i] != now:
+                if held:
+                    yield done()
+                now, held = int(block[i]), []
+            held.append((place[i:j], c[i:j]))
+    if held:
+        yield done()
+
+
+def counted(texts: DataFrame, tree: Tree, all_words: DataFrame, shared) -> DataFrame:
+    """``encoded`` texts, written again with the counts of their words that are not known."""
+    if len(tree.hashes) == tree.v:
+        return texts.withColumns({"found": F.lit(0).cast("long"), "rest": F.lit(None).cast("binary")})
+    with freed_shuffles(texts.sparkSession):
+        others = texts.select("block", "words").mapInArrow(_others(shared), "b long, i int, w long")
+        words_ = all_words.filter(F.col("c") < int(tree.counts.min())) if len(tree.counts) else all_words
+        rows = others.join(words_, F.col("w") == F.col("h")).select("b", "i", "c")
+        rest = written(rows.repartition("b").sortWithinPartitions("b", "i").mapInArrow(_rest_of, "b long, found long, rest binary"), "rest")
+        out = written(texts.join(rest, F.col("block") == F.col("b"), "left").drop("b"), "counted")
+    removed(rest)
+    return out
+
+
+def _rest(row: dict) -> tuple[np.ndarray, np.ndarray] | None:
+    if row["rest"].as_py() is None:
+        return None
+    steps, c = _unpacked(row["rest"].as_buffer(), row["found"].as_py(), _REST)
+    return np.cumsum(steps, dtype=np.int64), c
+
+
 def _tails(shared, parts: int, trains: bool, scores: bool):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each block and part its places of the tail, sorted by context; a text's number carries whether it is for training."""
         tree = shared.value
         for row, codes, h, at in _read(batches, not scores):
-            where, context, older, word, hashes = tree.tail(h, at, codes)
+            where, context, older, word, hashes, listed = tree.tail(h, at, codes, _rest(row))
             if not len(where):
                 continue
             oldest = older[0].astype(np.uint64)
             other = np.flatnonzero(older[0] == UNKNOWN)
             oldest[other] = hashes(0, other) | np.uint64(1 << 63)
             part = (mixed(mixed(oldest) + context.astype(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-            order = np.argsort((part << np.uint64(42)) | (context.astype(np.uint64) << np.uint64(19)) | older[0])
+            order = np.argsort((part << np.uint64(_CONTEXT_BITS + _RANK_BITS)) | (context.astype(np.uint64) << np.uint64(_RANK_BITS)) | older[0])
             where, context, word, part, older = where[order], context[order], word[order], part[order], [x[order] for x in older]
             doc = np.repeat(np.arange(len(at) - 1, dtype=np.uint32), np.diff(at))[where]
             learned = ~row["held"].values.to_numpy(zero_copy_only=False)[doc] if trains and scores else np.full(len(doc), trains)
@@ -519,7 +609,8 @@ def _tails(shared, parts: int, trains: bool, scores: bool):
                 levels = [x[i:j] for x in older] + [np.full(j - i, NONE, np.uint32)] * (DEPTH - len(older))
                 data = _packed(steps, *levels, word[i:j].astype(np.uint32), doc[i:j])
                 others = np.concatenate([hashes(k, order[i:j][x[i:j] == UNKNOWN]) for k, x in enumerate(older)]).tobytes()
-                yield pa.record_batch([pa.array([part[i]], pa.int32()), pa.array([row["block"].as_py() if scores else None], pa.int64()), pa.array([j - i], pa.int64()), pa.array([data], pa.binary()), pa.array([others], pa.binary())], names=["part", "block", "size", "data", "hashes"])
+                given = _packed(*listed(order[i:j][word[i:j] == LISTED]))
+                yield pa.record_batch([pa.array([part[i]], pa.int32()), pa.array([row["block"].as_py() if scores else None], pa.int64()), pa.array([j - i], pa.int64()), pa.array([data], pa.binary()), pa.array([others], pa.binary()), pa.array([given], pa.binary())], names=["part", "block", "size", "data", "hashes", "listed"])
 
     return run
 
@@ -537,7 +628,8 @@ def _gains(shared):
                 now = batch.column(0)[i].as_py()
                 steps, *older, word, doc = _unpacked(batch.column(3)[i].as_buffer(), batch.column(2)[i].as_py(), _TAIL)
                 head, hashes = np.cumsum(steps, dtype=np.uint64), np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
-                chunks.append((batch.column(1)[i].as_py(), *_contexts(head, older, hashes), head.astype(np.uint32), word, doc))
+                listed = _unpacked(batch.column(5)[i].as_buffer(), int((word == LISTED).sum()), _WORDS)
+                chunks.append((batch.column(1)[i].as_py(), *_contexts(head, older, hashes), head.astype(np.uint32), word, doc, *listed))
         if chunks:
             yield from _gains_of(shared.value, now, chunks)
 
@@ -585,9 +677,13 @@ def _retained(counts: np.ndarray, total: np.ndarray, context_of: np.ndarray, oft
 def _gains_of(tree: Tree, part: int, chunks: list[tuple]) -> Iterator[pa.RecordBatch]:
     blocks_ = [c[0] for c in chunks]
     scored_ = np.array([b is not None for b in blocks_])
-    *names, head, word, doc = (np.concatenate([c[k] for c in chunks]) for k in range(1, DEPTH + 4))
+    *names, head, word, doc, listed, listed_counts = (np.concatenate([c[k] for c in chunks]) for k in range(1, DEPTH + 6))
     chunk = np.repeat(np.arange(len(chunks), dtype=np.int32), [len(c[1]) for c in chunks])
     chunks.clear()
+    # words that are not known get numbers here
+    _, first, number = np.unique(listed, return_index=True, return_inverse=True)
+    word[word == LISTED] = number.astype(np.uint32) + np.uint32(UNKNOWN + 1)
+    listed_counts = listed_counts[first]
     # of every place, the head's probability where a run needs it, and by how much its contexts change it
     base, ratio = np.full(len(word), np.nan), np.ones(len(word))
     active, changed = np.arange(len(word)), np.zeros(len(word), bool)
@@ -611,7 +707,7 @@ def _gains_of(tree: Tree, part: int, chunks: list[tuple]) -> Iterator[pa.RecordB
         often = (word[one] != UNKNOWN) & (counts >= LEAST)
         new = often & np.isnan(base[one])
         p = base[one]
-        p[new] = tree.head_p(head[one][new].astype(np.int64), word[one][new])
+        p[new] = tree.head_p(head[one][new].astype(np.int64), word[one][new], listed_counts)
         base[active] = p[run]
         parent = np.where(often, p * ratio[one], 1.0)
         keep, own, left = _retained(counts, total, of[begins], often, parent)
@@ -658,7 +754,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def tail_gains(texts: DataFrame, training: DataFrame, shared) -> DataFrame:
     """(b, o, gain): what the tail adds to the score of each text of ``texts``, by its block and place."""
     parts = min(math.ceil(shared.value.n / _PART_TOKENS), _PARTS_MOST)
-    made = "part int, block long, size long, data binary, hashes binary"
+    made = "part int, block long, size long, data binary, hashes binary, listed binary"
     if training is texts:
         chunks = texts.mapInArrow(_tails(shared, parts, True, True), made)
     else:
@@ -667,7 +763,7 @@ def tail_gains(texts: DataFrame, training: DataFrame, shared) -> DataFrame:
     return gains.repartition("b").sortWithinPartitions("b", "part").mapInArrow(_added, "b long, o int, gain double")
 
 
-_ROW = "block long, place int, doc_id long, held_out boolean, k long, n_tokens long, known long, base double, full double, rare array<long>"
+_ROW = "block long, place int, doc_id long, held_out boolean, n_tokens long, known long, base double, full double"
 
 
 def _scored(shared):
@@ -675,10 +771,9 @@ def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         for row, codes, distinct, at in _read(batches, False):
-            known, base, full, rare, bounds = tree.score(distinct, at, codes)
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(rare))
+            known, base, full = tree.score(distinct, at, codes, _rest(row))
             n = len(at) - 1
-            out = pa.record_batch([pa.array([row["block"].as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), row["doc_id"].values, row["held"].values, row["k"].values, pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(full), lists], names=[x.split()[0] for x in _ROW.split(", ")])
+            out = pa.record_batch([pa.array([row["block"].as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), row["doc_id"].values, row["held"].values, pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(full)], names=[x.split()[0] for x in _ROW.split(", ")])
             for i in range(0, out.num_rows, 1000):
                 yield out.slice(i, 1000)
 
@@ -694,24 +789,22 @@ def scored(texts: DataFrame, tree: Tree, all_words: DataFrame) -> DataFrame:
     """The same for ``encoded`` texts, which are removed once they are scored."""
     spark = texts.sparkSession
     shared, training = spark.sparkContext.broadcast(tree), getattr(all_words, "_tidewright_training", None)
-    each = written(texts.mapInArrow(_scored(shared), _ROW), "scored")
-    # a context outside the head occurs less than tree.frequent times; with LEAST none of them has a word to learn
-    if training is not None and tree.keys and tree.frequent > LEAST:
+    mine = counted(texts, tree, all_words, shared)
+    # a context or word outside the head occurs less than tree.frequent times; with LEAST none of them has a word to learn
+    tail = training is not None and tree.keys and tree.frequent > LEAST
+    if hasattr(mine, "_tidewright_path"):
+        removed(texts)
+    each = written(mine.mapInArrow(_scored(shared), _ROW), "scored")
+    if tail:
+        learned = mine if training is texts else counted(training, tree, all_words, shared)
         with freed_shuffles(spark):
-            gains = written(tail_gains(texts, training, shared), "gains")
-        each = each.join(gains, (F.col("block") == F.col("b")) & (F.col("place") == F.col("o")), "left").withColumn("full", F.col("full") + F.coalesce("gain", F.lit(0.0))).drop("b", "o", "gain")
-    removed(texts)
+            gains = written(tail_gains(mine, learned, shared), "gains")
+        if learned is not mine:
+            removed(learned)
+        each = each.join(gains, (F.col("block") == F.col("b")) & (F.col("place") == F.col("o")), "left").withColumn("full", F.col("full") + F.coalesce("gain", F.lit(0.0)))
+    removed(texts, mine)
     shared.destroy()
-    # words beyond the known ones: joined with all words; equal rows add up and are divided by their number
-    rare = each.filter(F.size("rare") > 0).select("doc_id", "k", F.explode("rare").alias("w"))
-    rare = rare.groupBy("doc_id", "k", "w").agg(F.count(F.lit(1)).alias("m"))
-    rest = rare.join(all_words, F.col("w") == F.col("h"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rest = rest.groupBy(F.col("doc_id").alias("d"), F.col("k").alias("kk")).agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * F.log10((F.col("c") + 1.0) / F.lit(float(tree.n + tree.v + 1)))).alias("lost"))
-    copies = each.groupBy(F.col("doc_id").alias("d2"), F.col("k").alias("k2")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    out = each.drop("rare").join(rest, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("kk")), "left").join(copies, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2")), "left")
-    share = F.coalesce("copies", F.lit(1))
-    lost = F.coalesce("lost", F.lit(0.0)) / share
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0)) / share).cast("long").alias("n_known"), F.lit(int(tree.n)).cast("long").alias("train_tokens"), (F.col("base") + lost).alias("base_score"), (F.col("full") + lost).alias("score"))
+    return each.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(tree.n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("full").alias("score"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
