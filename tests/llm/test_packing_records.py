@@ -108,3 +108,16 @@ def test_damage_is_found():
         with pytest.raises(ValueError):
             records.unframed(memoryview(bytes(bad)))
     assert struct.unpack_from("<Q", good)[0] == 7
+
+
+def test_a_packing_task_gives_back_what_it_freed(monkeypatch):
+    import pyarrow as pa
+
+    from tidewright.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "_returned", lambda: given.append(1), raising=False)
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    docs = pa.record_batch([pa.array([1, 2]), pa.array(["some words", None])], names=["doc_id", "text"])
+    (out,) = packing._local(vocabulary("byte_bpe_50k.json"), 0, 2048)(iter([docs]))
+    assert out.column(3).to_pylist() == [3, 1] and len(given) == 2

@@ -54,17 +54,23 @@ def removed(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _returned() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run):
-    """A task's function after which what it freed goes back to the machine; a worker that serves many tasks would keep it."""
+    """A task's function around which what is free goes back to the machine; a worker that serves many tasks would keep it, and
+    that of another operator's tasks, too."""
 
     @functools.wraps(run)
     def wrapped(batches):
+        _returned()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            _returned()
 
     return wrapped
 

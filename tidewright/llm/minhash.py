@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WordHash, blocks, mixed, removed, small_batches, table, written
+from tidewright.llm.common import WordHash, blocks, lean, mixed, removed, small_batches, table, written
 from tidewright.llm.graph import components
 from tidewright.llm.shingles import shingle_sets, signatures
 
@@ -54,6 +54,7 @@ def _cid(part: np.ndarray) -> int:
 
 
 def _classes(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHash()
         for block in blocks(batches):
@@ -92,6 +93,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHash()
         for block in blocks(batches):
@@ -103,6 +105,7 @@ def _set_rows(width: int):
 
 
 def _confirm(percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

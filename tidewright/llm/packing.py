@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import blocks, raw, small_batches, table, written
+from tidewright.llm.common import blocks, lean, raw, small_batches, table, written
 from tidewright.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
@@ -64,6 +64,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _local(path: str, end: int, capacity: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
         encode, held, count, made = encoder(path), [], 0, 0

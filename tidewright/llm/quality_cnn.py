@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import blocks, raw, small_batches, table, written
+from tidewright.llm.common import blocks, lean, raw, small_batches, table, written
 
 FILTERS, WIDTH = 12, 6
 CHUNK, STRIDE = 256, 224
@@ -247,6 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def _scored(model: Model):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.pairs()
         for block in blocks(batches):
@@ -264,6 +265,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def _passing(model: Model, at: int, threshold: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.pairs()
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import blocks, raw, shared_path, small_batches, table
+from tidewright.llm.common import blocks, lean, raw, shared_path, small_batches, table
 from tidewright.llm.tokens import encoder, vocabulary
 
 _HEAD, _DOC = "<QI", "<Bq"
@@ -61,6 +61,7 @@ def _filesystem(where: str):
 
 
 def _writer(where: str, path: str, end: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _filesystem(where)
         shard = TaskContext.get().partitionId()

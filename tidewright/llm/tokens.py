@@ -66,9 +66,10 @@ def pieces(body: np.ndarray, ends: np.ndarray, whole=()) -> tuple[pa.Array, np.n
 
 
 class Encoder:
-    """Ids of blocks of texts. Up to ``most`` pieces of ``most_bytes`` in all stay known between blocks; then it starts anew."""
+    """Ids of blocks of texts. Up to ``most`` pieces of ``most_bytes`` in all stay known between blocks; beyond that those that most
+    blocks had stay, half of either at most. A known piece takes about 200 bytes."""
 
-    def __init__(self, path: str, most: int = 900_000, most_bytes: int = 32 << 20):
+    def __init__(self, path: str, most: int = 600_000, most_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,18 +87,43 @@ class Encoder:
         self.held = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int32)
+        self.seen = np.zeros(1 << 14, np.int32)  # blocks that had the piece
+
+    def _shrink(self) -> None:
+        """Forgets the pieces that the fewest blocks had, so that half of what may stay known is free."""
+        n = len(self.known)
+        pieces, seen = list(self.known), self.seen[:n]
+        size = np.fromiter(map(len, pieces), np.int64, n)
+        order = np.argsort(-seen, kind="stable")
+        stay = np.arange(1, n + 1) <= self.most // 2
+        stay &= np.cumsum(size[order]) <= self.most_bytes // 2
+        stay &= seen[order] > 1
+        kept = np.sort(order[stay])
+        parts = [self.ids[self.ends[i] : self.ends[i + 1]] for i in kept.tolist()]
+        ids, counts = (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), seen[kept]
+        known = {pieces[i]: k for k, i in enumerate(kept.tolist())}
+        ends = np.cumsum(self.ends[kept + 1] - self.ends[kept])
+        self._forget()
+        self.known, self.held = known, int(size[kept].sum())
+        self._room(len(kept), len(ids))
+        self.ids[: len(ids)], self.ends[1 : len(kept) + 1], self.seen[: len(kept)] = ids, ends, (counts + 1) // 2  # so that pieces of long ago go
+
+    def _room(self, n: int, total: int) -> None:
+        """Makes the arrays long enough for n pieces of ``total`` ids."""
+        if n + 1 > len(self.ends):
+            more = np.zeros(max(2 * len(self.ends), n + 1) - len(self.ends), np.int32)
+            self.ends, self.seen = np.concatenate([self.ends, more]), np.concatenate([self.seen, more])
+        if total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(2 * len(self.ids), total) - len(self.ids), np.uint32)])
 
     def _learn(self, new: list[bytes]) -> None:
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(new), 4_000):
+            part = new[k : k + 4_000]
             got = [e.ids for e in self.model.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)]
             n, sizes = len(self.known), np.fromiter(map(len, got), np.int64, len(got))
-            while n + len(part) + 1 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            total = int(self.ends[n]) + int(sizes.sum())
+            self._room(n + len(part), total)
             self.ends[n + 1 : n + len(part) + 1] = self.ends[n] + np.cumsum(sizes)
-            total = int(self.ends[n + len(part)])
-            while total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.ends[n] : total] = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
             self.known.update(zip(part, range(n, n + len(part)), strict=True))
             self.held += sum(map(len, part))
@@ -126,12 +152,13 @@ class Encoder:
         coded = found.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > self.most or self.held > self.most_bytes:
-            self._forget()
+            self._shrink()
         places = list(map(self.known.get, distinct))
         if None in places:
             self._learn([x for x, k in zip(distinct, places, strict=True) if k is None])
             places = list(map(self.known.get, distinct))
         places = np.array(places, np.int32)
+        self.seen[places] += 1
         at = places[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = self.ends[at + 1] - self.ends[at]
         total = np.zeros(len(sizes) + 1, np.int32)
